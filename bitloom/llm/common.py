@@ -101,7 +101,7 @@ def map_texts(
     names = [n for n, _ in ddl]
     row = F.struct(*[col(c) for c in keep]) if keep else F.struct(F.lit(1).alias("_"))
     packed = df.select(row.alias("row"), col(text).cast("string").alias("text"))
-    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
     types = [kinds[t] for _, t in ddl]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
