@@ -29,7 +29,7 @@ from .common import map_texts
 
 END = "</w>"
 #: White space as Unicode has it (fixed values).
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The vocabulary file's own contractions (fixed values).
 SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
 #: Words that a Python worker keeps the encoding of.

@@ -119,3 +119,44 @@ def map_texts(
     done = packed.mapInArrow(run, whole)
     kept = [F.col("row." + quoted(c)).alias(c) for c in keep if c not in names]
     return done.select(*kept, *[F.col("out." + quoted(n)).alias(n) for n in names])
+
+
+MIX_A, MIX_B, GOLD = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: every input bit moves every output bit."""
+    x = (x ^ (x >> np.uint64(33))) * MIX_A
+    x = (x ^ (x >> np.uint64(33))) * MIX_B
+    return x ^ (x >> np.uint64(33))
+
+
+_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * GOLD)
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+_BLANK = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words (runs of bytes other than blank and 9 to 13) of texts that lie end to end: first
+    byte and length of each, and the number of words before each text and at the end."""
+    solid = ~_BLANK[data]
+    begins = np.zeros(len(data) + 1, bool)
+    begins[offsets] = True
+    start = solid.copy()
+    start[1:] &= ~solid[:-1] | begins[1:-1]
+    end = solid
+    end[:-1] = solid[:-1] & (~solid[1:] | begins[1:-1])
+    starts = np.flatnonzero(start)
+    return starts, np.flatnonzero(end) + 1 - starts, np.searchsorted(starts, offsets)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte runs, ASCII letters lower-cased."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    total = int(sizes.sum())
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(total) - np.repeat(first, sizes)
+    power = np.multiply.accumulate(np.full(int(sizes.max()), GOLD, np.uint64))
+    value = _BYTE[_LOWER[data[place + np.repeat(starts, sizes)]]] * power[place]
+    return mixed(np.add.reduceat(value, first) + sizes.astype(np.uint64) * MIX_B)

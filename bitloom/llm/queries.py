@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .bpe import op6_bpe
 from .decontaminate import op2_decontaminate
+from .neardup import op3_neardup
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
+    "op3_neardup": op3_neardup,
     "op6_bpe": op6_bpe,
 }
 
