@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from .bpe import op6_bpe
 from .decontaminate import op2_decontaminate
+from .linededup import OP4_SQL, op4_linededup
 from .neardup import op3_neardup
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_neardup": op3_neardup,
+    "op4_linededup": op4_linededup,
     "op6_bpe": op6_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op4_linededup": OP4_SQL,
+}
