@@ -38,14 +38,21 @@ def save(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete the tables that ``save`` wrote. Call it only when every result that was made
-    from them has been written (the pipeline does, between its stages)."""
+def scratch_tables(spark: SparkSession) -> list[str]:
+    return list(_scratch.get(spark.sparkContext.applicationId, []))
+
+
+def clear_scratch(spark: SparkSession, tables: list[str]) -> None:
+    """Delete tables that ``save`` wrote. Call it only when every result that was made from
+    them has been written (the pipeline does, between its stages)."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _scratch.pop(spark.sparkContext.applicationId, []):
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+    known = _scratch.get(spark.sparkContext.applicationId, [])
+    for path in tables:
+        if path in known:
+            known.remove(path)
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
 
 
 def quoted(name: str) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op6_bpe
+from .classifier import op8_quality
 from .decontaminate import op2_decontaminate
 from .linededup import OP4_SQL, op4_linededup
 from .neardup import op3_neardup
@@ -12,6 +13,7 @@ QUERIES = {
     "op3_neardup": op3_neardup,
     "op4_linededup": op4_linededup,
     "op6_bpe": op6_bpe,
+    "op8_quality": op8_quality,
 }
 
 ORACLE_SQL = {
