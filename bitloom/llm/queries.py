@@ -6,6 +6,7 @@ from .bpe import op6_bpe
 from .classifier import op8_quality
 from .decontaminate import op2_decontaminate
 from .linededup import OP4_SQL, op4_linededup
+from .lm import op10_lm
 from .neardup import op3_neardup
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_linededup": op4_linededup,
     "op6_bpe": op6_bpe,
     "op8_quality": op8_quality,
+    "op10_lm": op10_lm,
 }
 
 ORACLE_SQL = {
