@@ -8,11 +8,13 @@ from .decontaminate import op2_decontaminate
 from .linededup import OP4_SQL, op4_linededup
 from .lm import op10_lm
 from .neardup import op3_neardup
+from .substrings import op5_repeats
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_neardup": op3_neardup,
     "op4_linededup": op4_linededup,
+    "op5_repeats": op5_repeats,
     "op6_bpe": op6_bpe,
     "op8_quality": op8_quality,
     "op10_lm": op10_lm,
