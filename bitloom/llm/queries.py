@@ -5,12 +5,14 @@ from __future__ import annotations
 from .bpe import op6_bpe
 from .classifier import op8_quality
 from .decontaminate import op2_decontaminate
+from .licences import OP1_SQL, op1_licences
 from .linededup import OP4_SQL, op4_linededup
 from .lm import op10_lm
 from .neardup import op3_neardup
 from .substrings import op5_repeats
 
 QUERIES = {
+    "op1_licences": op1_licences,
     "op2_decontaminate": op2_decontaminate,
     "op3_neardup": op3_neardup,
     "op4_linededup": op4_linededup,
@@ -21,5 +23,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_licences": OP1_SQL,
     "op4_linededup": OP4_SQL,
 }
