@@ -9,6 +9,7 @@ from .licences import OP1_SQL, op1_licences
 from .linededup import OP4_SQL, op4_linededup
 from .lm import op10_lm
 from .neardup import op3_neardup
+from .rules import OP7_SQL, op7_rules
 from .substrings import op5_repeats
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_linededup": op4_linededup,
     "op5_repeats": op5_repeats,
     "op6_bpe": op6_bpe,
+    "op7_rules": op7_rules,
     "op8_quality": op8_quality,
     "op10_lm": op10_lm,
 }
@@ -25,4 +27,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_licences": OP1_SQL,
     "op4_linededup": OP4_SQL,
+    "op7_rules": OP7_SQL,
 }
