@@ -11,6 +11,7 @@ from .lm import op10_lm
 from .neardup import op3_neardup
 from .rules import OP7_SQL, op7_rules
 from .substrings import op5_repeats
+from .urls import OP9_SQL, op9_urls
 
 QUERIES = {
     "op1_licences": op1_licences,
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_rules": op7_rules,
     "op8_quality": op8_quality,
+    "op9_urls": op9_urls,
     "op10_lm": op10_lm,
 }
 
@@ -28,4 +30,5 @@ ORACLE_SQL = {
     "op1_licences": OP1_SQL,
     "op4_linededup": OP4_SQL,
     "op7_rules": OP7_SQL,
+    "op9_urls": OP9_SQL,
 }
