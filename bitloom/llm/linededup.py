@@ -25,21 +25,21 @@ LEAVES = 2_000_000
 
 
 def masked(line: Column) -> Column:
-    """Tokens joined by single blanks, variable fields as <*>."""
+    """Tokens joined by single blanks, variable fields as <*>. Most lines are so already."""
     fields = F.regexp_replace(line, r"(?<![^ \t-\r])[^ \t-\r0-9]*+[0-9][^ \t-\r]*+", "<*>")
-    return F.trim(F.regexp_replace(fields, r"[ \t-\r]+", " "))
+    return F.when(line.rlike(r"[0-9\t-\r]|  |^ | $"), F.trim(F.regexp_replace(fields, r"[ \t-\r]+", " "))).otherwise(line)
 
 
 def _line(form: Column) -> Column:
-    tokens = F.split(form, " ")
-    n = F.when(form == "", 0).otherwise(F.size(tokens))
-    return F.struct(F.xxhash64(form).alias("h"), F.xxhash64(n, F.concat_ws(" ", F.slice(tokens, 1, DEPTH))).alias("leaf"), n.alias("n"))
+    """Hash, leaf and token count of a form; ``form`` must be a variable or a column."""
+    n = F.when(form == "", 0).otherwise(F.octet_length(form) - F.octet_length(F.replace(form, F.lit(" "), F.lit(""))) + 1)
+    return F.struct(F.xxhash64(form).alias("h"), F.xxhash64(n, F.substring_index(form, " ", DEPTH)).alias("leaf"), n.alias("n"))
 
 
 def _lines(docs: DataFrame, text: str) -> DataFrame:
     """A row for each line: node (digest of its text), pos, h, leaf, n and its neighbours' hash."""
     content = F.coalesce(col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.unhex(F.md5(content)).alias("node"), F.transform(F.split(content, "\n"), lambda x: _line(masked(x))).alias("ls"))
+    rows = docs.select(F.unhex(F.md5(content)).alias("node"), F.transform(F.transform(F.split(content, "\n"), masked), _line).alias("ls"))
 
     def near(x: Column, i: Column) -> Column:
         before = F.when(i > 0, F.get("ls", i - 1)["h"]).otherwise(F.lit(0))
