@@ -214,7 +214,8 @@ def _blockwise(docs: DataFrame, items: DataFrame, text: str, window: int, keep:
     packed = out.select(F.col("row"), F.col("text").cast("string").alias("text"), "bits", "ids")
     counted = map_texts(packed, "text", "n_words long", lambda: lambda texts: [[len(words_of(t)) for t in texts]])
     ones = F.length(F.replace(F.expr("concat_ws('', transform(split(hex(bits), ''), c -> lpad(conv(c, 16, 2), 4, '0')))"), F.lit("0"), F.lit("")))
-    return counted.select(*[F.col("row").getField(c).alias(c) for c in names], "n_words", ones.cast("long").alias("n_hit"), F.col("ids").alias("items"))
+    new = ("n_words", "n_hit", "items")
+    return counted.select(*[F.col("row").getField(c).alias(c) for c in names if c not in new], "n_words", ones.cast("long").alias("n_hit"), F.col("ids").alias("items"))
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
