@@ -169,8 +169,6 @@ class Checker:
                 if m.kind == "let":
                     known.add(m.name)
                 continue
-            if m.name in known and m.name != "_" and m.derived is None and False:
-                self.error("BSC100", f"duplicate field {m.name}", m.at)
             if m.derived is not None:
                 self.expr(m.derived, known, later)
                 if m.asserts or m.encoding:
@@ -207,7 +205,7 @@ class Checker:
             self.type(t.inner, known, later)
         if t.kind == "match":
             self.expr(t.on, known, later)
-            if not any(a.kind in ("any",) and a.guard is None for a in t.arms):
+            if not any(a.kind == "any" and a.guard is None for a in t.arms):
                 self.warn("BSC301", "match without a default arm", t.at)
             for a in t.arms:
                 own = known | ({a.low} if a.kind == "bind" else set())
