@@ -8,11 +8,13 @@ keeps the earliest point; two texts agree in a component with probability
 sum(min weights) / sum(max weights). Points after the time by which all components are filled
 are never drawn, so a long text costs about one draw for each shingle.
 
-Signatures are cut into bands. Texts that share a band form a bucket, each member is held
-against the bucket's first text, and the exact overlap of the two multisets decides. Links make
-components; while a bucket still holds texts of different components, pairs across them that
-have not been compared are compared too. So a link that shows in any bucket is never lost,
-and texts that already belong together are not paired again.
+Signatures are cut into bands. Texts that share a band form a bucket; each member is held
+against the bucket's pivot, and the exact overlap of the two multisets decides. Links make
+components. Where a bucket then still holds texts of different components, all texts that meet
+in such buckets are compared block by block (only pairs that share a band and lie in different
+components count), inside the tasks and without a row for a pair, so that no link that shows
+in any bucket is lost. A group of texts that are all alike, but below the threshold, therefore
+costs its square in comparisons (matrix products of SIDE x SIDE pairs).
 """
 
 from __future__ import annotations
@@ -33,6 +35,10 @@ SIZE, ROWS = 128, 4
 THRESHOLD = 0.8
 #: Members of a bucket that one block holds against the same text.
 BLOCK = 200
+#: Orders in which buckets choose their pivots.
+ORDERS = 2
+#: Texts on each side of a block pair.
+SIDE = 512
 
 
 def multisets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,6 +174,93 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select("b", "a", "text").mapInArrow(_verified, "a long, b long")
 
 
+def _pivots(shared: DataFrame) -> DataFrame:
+    """Each member of a bucket against the bucket's pivot, first in one of ORDERS orders."""
+    order = F.xxhash64("a", F.pmod("key", F.lit(ORDERS)))
+    pivot = shared.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("a").alias("b"))).alias("p"))
+    met = shared.join(pivot, "key").where(F.col("a") != F.col("p.b"))
+    return met.select(F.greatest("a", F.col("p.b")).alias("a"), F.least("a", F.col("p.b")).alias("b")).distinct()
+
+
+def _open(shared: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """(a, c, s, k) of texts in buckets that hold several components c: s joins all that meet in
+    such buckets, k is the number of blocks of s. None if there is no such bucket."""
+    labelled = shared.join(labels, F.col("a") == F.col("node"), "left").select("key", "a", F.coalesce("component", "a").alias("c"))
+    keys = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("a").alias("first")).where("lo <> hi").select("key", "first")
+    members = save(labelled.join(keys, "key"))
+    if members.isEmpty():
+        return None
+    groups = save(components(members.select("a", F.col("first").alias("b")).where("a <> b")))
+    docs = members.select("a", "c").distinct().join(groups.select(F.col("node").alias("a"), F.col("component").alias("s")), "a")
+    sizes = docs.groupBy("s").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("k"))
+    return save(docs.join(sizes, "s").select("a", "c", "s", "k"))
+
+
+def _blocks(docs: DataFrame, bands_of: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links across components, found block against block; a block pair sends on only as many
+    links as join its components."""
+    own = F.pmod(F.xxhash64("a"), F.col("k")).cast("int")
+    dealt = docs.select("a", "c", "s", own.alias("o"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("x"))
+    dealt = dealt.select("a", "c", "s", "o", F.least("o", "x").alias("i"), F.greatest("o", "x").alias("j"))
+    held = docs.select("a").join(texts, F.col("a") == texts.nid).join(bands_of, "nid").select(F.col("nid").alias("id"), "text", "bands")
+    rows = dealt.join(save(held), F.col("a") == F.col("id")).select("s", "i", "j", "o", "a", "c", "bands", "text")
+    return save(rows.groupBy("s", "i", "j").applyInArrow(_compared, "a long, b long"))
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Common elements of each pair of sorted sets, by products of 0/1 matrices in slices."""
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), np.float32)
+
+    def placed(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        owner, value = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+        at = np.minimum(np.searchsorted(both, value), max(0, len(both) - 1))
+        on = both[at] == value if len(both) else np.zeros(len(value), bool)
+        order = np.argsort(at[on], kind="stable")
+        return owner[on][order], at[on][order]
+
+    (lo, la), (ro, ra) = placed(left), placed(right)
+    for k in range(0, len(both), 2048):
+        a, b = np.zeros((len(left), 2048), np.float32), np.zeros((len(right), 2048), np.float32)
+        for m, owner, at in ((a, lo, la), (b, ro, ra)):
+            own = slice(*np.searchsorted(at, [k, k + 2048]))
+            m[owner[own], at[own] - k] = 1
+        out += a @ b.T
+    return out
+
+
+def _compared(table: pa.Table) -> pa.Table:
+    ids, c, o, i, j = (table.column(x).to_numpy() for x in ("a", "c", "o", "i", "j"))
+    keys = np.stack(table.column("bands").to_pylist())
+    sets = _elements([t.encode() for t in table.column("text").to_pylist()])
+    left = np.flatnonzero(o == i[0])
+    right = np.flatnonzero(o == j[0])
+    meet = np.zeros((len(left), len(right)), bool)
+    for b in range(keys.shape[1]):
+        meet |= keys[left, b][:, None] == keys[right, b][None, :]
+    meet &= c[left][:, None] != c[right][None, :]
+    a_out, b_out = [], []
+    if meet.any():
+        common = overlaps([sets[x] for x in left], [sets[x] for x in right])
+        size = np.array([len(x) for x in sets])
+        good = meet & (common >= THRESHOLD * (size[left][:, None] + size[right][None, :] - common) - 1e-3)
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for p, q in np.argwhere(good).tolist():
+            x, y = left[p], right[q]
+            u, v = find(int(c[x])), find(int(c[y]))
+            if u != v and overlap(sets[x], sets[y]) >= THRESHOLD:
+                root[u] = v
+                a_out.append(int(ids[x]))
+                b_out.append(int(ids[y]))
+    return pa.table([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+
+
 def classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row for each row of ``docs``: doc_id, node (digest of the text), class_id (least
     doc_id of the class) and kept (true for one row of each class).
@@ -185,31 +278,19 @@ def classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> D
     nodes = save(nodes.withColumn("nid", F.monotonically_increasing_id()))
 
     buckets = nodes.select("nid", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("nid").alias("b"), F.count("*").alias("n")).where("n > 1")
-    shared = save(buckets.join(shared, "key").select("key", "b", F.col("nid").alias("a")))
+    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = save(buckets.join(shared, "key").select("key", F.col("nid").alias("a")))
     wanted = save(nodes.join(shared.select(F.col("a").alias("nid")).distinct(), "nid", "left_semi").select("node", "nid"))
     found = wanted.count()
     texts = rows.select("node", "text").join(F.broadcast(wanted) if found * 40 <= 32 << 20 else wanted, "node")
     texts = save(texts.groupBy("nid").agg(F.first("text").alias("text")) if found else texts.select("nid", "text"))
 
-    pairs = save(shared.where("a <> b").select("a", "b").distinct())
-    tested, links = pairs, save(verify(pairs, texts))
-    while True:
-        labels = save(components(links))
-        members = shared.join(labels, F.col("a") == F.col("node"), "left").select("key", "a", F.coalesce("component", "a").alias("c"))
-        open_keys = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-        members = save(members.join(open_keys, "key", "left_semi"))
-        left, right = members.select("key", "a", "c"), members.select("key", F.col("a").alias("b"), F.col("c").alias("d"))
-        across = left.join(right, "key").where("c > d").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        known = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        fresh = save(across.join(known, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            break
-        tested = tested.unionByName(fresh)
-        more = save(verify(fresh, texts))
-        if more.isEmpty():
-            break
-        links = save(links.unionByName(more))
+    links = save(verify(save(_pivots(shared)), texts))
+    labels = save(components(links))
+    open_docs = _open(shared, labels)
+    if open_docs is not None:
+        more = _blocks(open_docs, nodes.select("nid", "bands"), texts)
+        labels = save(components(links.unionByName(more)))
     grouped = nodes.join(labels, F.col("nid") == labels.node, "left").select(nodes.node, "least", F.coalesce("component", "nid").alias("c"))
     least = grouped.groupBy("c").agg(F.min("least").alias("first"))
     named = grouped.join(least, "c").select("node", "first")
