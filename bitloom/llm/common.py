@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -55,6 +56,12 @@ def clear_scratch(spark: SparkSession, tables: list[str]) -> None:
             target.getFileSystem(conf).delete(target, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of frames that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -10,8 +10,8 @@ it; taking a queue in numpy, the suffixes one place earlier go behind the queues
 first symbols, and those that start with the same symbol make the queue's next round. So the
 queues are drained in the order of a priority queue, and every entry is moved once. Queues of
 more than ``memory`` bytes lie in an unnamed temporary file that vanishes with the process.
-Names above LIMIT are written as two symbols, which keeps the number of queues small at every
-level of the recursion.
+A string of names that fits in memory (BASE) ends the recursion; of a longer one, names above
+LIMIT are written as two symbols, which keeps the number of queues small at every level.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ import tempfile
 
 import numpy as np
 
-LIMIT = 2048
+LIMIT = 256
+#: Names that are sorted in memory; more of them recur.
+BASE = (1 << 21) - 2
 MEMORY = 256 << 20
 
 
@@ -32,10 +34,10 @@ class Queues:
         self.first = np.cumsum(sizes) - sizes
         self.next = self.first.copy()
         total = int(sizes.sum())
-        if total * 8 > memory:
-            self.items = np.memmap(tempfile.TemporaryFile(), np.int64, "w+", shape=total)
+        if total * 4 > memory:
+            self.items = np.memmap(tempfile.TemporaryFile(), np.int32, "w+", shape=total)
         else:
-            self.items = np.empty(total, np.int64)
+            self.items = np.empty(total, np.int32)
 
     def push(self, symbols: np.ndarray, items: np.ndarray) -> None:
         """Append each item to its symbol's queue, in the given order."""
@@ -44,8 +46,8 @@ class Queues:
         order = np.argsort(symbols, kind="stable")
         symbols = symbols[order].astype(np.int64)
         new = np.flatnonzero(symbols[1:] != symbols[:-1]) + 1
-        begin = np.append(0, new)
-        size = np.append(new, len(items)) - begin
+        begin = np.concatenate(([0], new))
+        size = np.concatenate((new, [len(items)])) - begin
         own = symbols[begin]
         place = np.arange(len(items)) + np.repeat(self.next[own] - begin, size)
         self.items[place] = items[order]
@@ -104,8 +106,9 @@ def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols: int,
     return np.concatenate(parts)
 
 
-def suffix_order(text: np.ndarray, symbols: int, memory: int = MEMORY) -> np.ndarray:
-    """Positions of all suffixes of ``text`` in order. The last symbol is the only 0."""
+def suffix_order(text: np.ndarray, symbols: int, memory: int = MEMORY, depth: int = 1 << 40) -> np.ndarray:
+    """Positions of all suffixes of ``text`` in order. The last symbol is the only 0. Suffixes
+    that share their first ``depth`` symbols may come in any order."""
     n = len(text)
     if n == 1:
         return np.zeros(1, np.int64)
@@ -118,7 +121,7 @@ def suffix_order(text: np.ndarray, symbols: int, memory: int = MEMORY) -> np.nda
         ranked = order[is_lms[order]]
         name_of, names = _names(text, lms, ranked, n)
         if names < len(lms):
-            lms = lms[_reduced_order(name_of, names, memory)]
+            lms = lms[_reduced_order(name_of, names, memory, depth)]
         else:
             lms = ranked
     return _induce(text, small, lms, symbols, memory)
@@ -147,13 +150,33 @@ def _names(text: np.ndarray, lms: np.ndarray, ranked: np.ndarray, n: int) -> tup
     return out, int(name[-1]) + 1
 
 
-def _reduced_order(name: np.ndarray, names: int, memory: int) -> np.ndarray:
+def _reduced_order(name: np.ndarray, names: int, memory: int, depth: int) -> np.ndarray:
     """Order of the suffixes of the string of names (the last name, of the sentinel, is 0)."""
+    if len(name) <= BASE:
+        return _doubled(name, depth)
     if names <= LIMIT:
-        return suffix_order(name, names, memory)
+        return suffix_order(name, names, memory, depth)
     base = int(names**0.5) + 1
     pair = np.empty(2 * len(name), np.int64)
     pair[0::2], pair[1::2] = name // base + 1, name % base + 1
-    order = suffix_order(np.append(pair[:-2], 0), base + 2, memory)
-    order = order[order % 2 == 0] // 2
-    return order
+    order = suffix_order(np.append(pair[:-2], 0), base + 2, memory, 2 * depth)
+    return order[order % 2 == 0] // 2
+
+
+def _doubled(name: np.ndarray, depth: int) -> np.ndarray:
+    """The base of the recursion, in memory: ranks of ever longer prefixes, each the pair of two
+    shorter ones, sorted as single integers with their place. Prefixes of ``depth`` are enough."""
+    n, rank, reach = len(name), name, 1
+    place = np.arange(n, dtype=np.uint64)
+    while True:
+        after = np.zeros(n, np.uint64)
+        if reach < n:
+            after[:-reach] = rank[reach:] + 1
+        key = np.sort((rank.astype(np.uint64) << np.uint64(43)) | (after << np.uint64(21)) | place)
+        order = (key & np.uint64((1 << 21) - 1)).astype(np.int64)
+        key >>= np.uint64(21)
+        rank = np.empty(n, np.int64)
+        rank[order] = np.append(0, np.cumsum(key[1:] != key[:-1]))
+        reach *= 2
+        if reach >= min(depth, n) or rank[order[-1]] == n - 1:
+            return order

@@ -6,7 +6,8 @@ All positions are covered, in three steps.
    the last) is its anchor. Equal runs have equal anchors, so only runs whose anchor's hash
    occurs at least twice can repeat. Each start belongs to exactly one anchor; the starts of an
    anchor are consecutive and make, with the SPAN - 1 bytes after them, its context.
-2. *Suffix order.* Equal contexts are one, with a weight. Contexts with the same anchor go to
+2. *Suffix order.* Equal contexts are one, with a weight; an anchor with a single context
+   (which then occurs twice at least) repeats whole. Different contexts with the same anchor go to
    the same shard (a frequent anchor's are dealt over several); a shard's contexts are sorted by
    external induced sorting (``induced``), and neighbours in the order that share SPAN bytes make
    a class. Classes of an anchor that was dealt out are joined across its shards by digest.
@@ -18,7 +19,6 @@ Equal whole texts are one text with a weight throughout.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLD, MIX_A, MIX_B, buffers, clear_scratch, col, mixed, pieces, save, scratch_tables
+from .common import GOLD, MIX_A, MIX_B, buffers, clear_scratch, col, mixed, pieces, release, save, scratch_tables
 from .induced import suffix_order
 
 SPAN, GRAM = 200, 32
-CHUNK_BITS = 22
-SHARD_BYTES = 5 << 20
+CHUNK_BITS = 20
+SHARD_BYTES = 3 << 20
 #: Contexts of one anchor that one shard takes.
 DEAL = 12_000
 
@@ -41,12 +41,6 @@ _BACK = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full((1
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * MIX_A)
 
 
-def _release(spark) -> None:
-    """Let Spark drop the shuffle files of frames that are no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """(text, first start, starts, anchor, hash, digest) of each context; at most 2**CHUNK_BITS bytes."""
     width, n = SPAN - GRAM + 1, len(data)
@@ -117,7 +111,7 @@ def classes(parts: list[bytes], many: np.ndarray) -> tuple[np.ndarray, np.ndarra
     text[first[1:] - 1] = 1
     owner = np.repeat(np.arange(len(parts)), size + 1)[: len(text)]
     inside = np.arange(len(text)) - first[owner]
-    order = suffix_order(np.append(text, 0), 258)[1:]
+    order = suffix_order(np.append(text, 0), 258, depth=SPAN)[1:]
     order = order[inside[order] < many[owner[order]]]
     narrow = (text - 2).astype(np.uint8)
     words = np.lib.stride_tricks.as_strided(narrow, (len(narrow) - SPAN + 1, SPAN), (1, 1))
@@ -214,24 +208,27 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", keep: list[str] | Non
     before = scratch_tables(spark)
 
     all_anchors = save(whole.select("n1", "n2", "w", "text").mapInArrow(_contexts, "n1 long, n2 long, w long, h long, c long, begin long, many long"))
-    _release(spark)
+    release(spark)
     often = all_anchors.groupBy("h").agg(F.sum("w").alias("t")).where("t > 1").select("h")
     repeated = save(all_anchors.join(often, "h"))
-    _release(spark)
+    release(spark)
     clear_scratch(spark, [t for t in scratch_tables(spark) if t not in before][:-1])
     contexts = repeated.groupBy("h", "c").agg(F.sum("w").alias("w"), *[F.first(x).alias(x) for x in ("n1", "n2", "begin", "many")])
     contexts = save(contexts)
-    crowded = save(contexts.groupBy("h").agg(F.ceil(F.count("*") / DEAL).cast("int").alias("k")).where("k > 1"))
-    volume = contexts.agg(F.sum(F.col("many") + SPAN)).first()[0] or 0
-    shards = max(1, -(-volume // SHARD_BYTES))
-    dealt = contexts.join(crowded, "h", "left")
-    shard = F.pmod(F.xxhash64("h", F.pmod("c", F.coalesce("k", F.lit(1)))), F.lit(shards)).cast("int")
-    listed = dealt.groupBy("n1", "n2").agg(F.collect_list(F.struct(shard.alias("shard"), F.col("k").isNotNull().alias("dealt"), "h", "c", "w", F.col("begin"), F.col("many"))).alias("contexts"))
+    variety = contexts.groupBy("h").agg(F.count("*").alias("n"))
+    contexts = save(contexts.join(variety, "h"))
+    several = contexts.where("n > 1")
+    volume, widest = several.agg(F.sum(F.col("many") + SPAN), F.max("n")).first()
+    shards = max(1, -(-(volume or 0) // SHARD_BYTES))
+    shard = F.pmod(F.xxhash64("h", F.pmod("c", F.ceil(F.col("n") / DEAL))), F.lit(shards)).cast("int")
+    listed = several.groupBy("n1", "n2").agg(F.collect_list(F.struct(shard.alias("shard"), (F.col("n") > DEAL).alias("dealt"), "h", "c", "w", "begin", "many")).alias("contexts"))
     found = whole.select("n1", "n2", "text").join(listed, ["n1", "n2"]).select("text", "contexts").mapInArrow(_extracted, "shard int, dealt boolean, h long, c long, w long, many long, bytes binary")
     judged = save(found.groupBy("shard").applyInArrow(_sorted_shard, RESULT))
-    _release(spark)
+    release(spark)
     marks = judged.where("g is null").select("h", "c", "starts")
-    if not crowded.isEmpty():
+    alone = contexts.where("n = 1").select("h", "c", F.array(F.lit(0), (F.col("many") - 1).cast("int")).alias("starts"))
+    marks = marks.unionByName(alone)
+    if (widest or 0) > DEAL:
         apart = judged.where("g is not null")
         twice = apart.groupBy("g").agg(F.sum("w").alias("t")).where("t > 1").select("g")
         single = F.transform(F.array_sort(F.collect_list("start")), lambda s: F.array(s, s))
