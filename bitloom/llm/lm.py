@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buffers, col, save, text_bytes
+from .common import buffers, clear_scratch, col, release, save, scratch_tables, text_bytes
 
 OWN, FORMS, STATES, PASSES = 1000, 1024, 8, 4
 BUCKET_BYTES = 12 << 20
@@ -251,9 +251,12 @@ def score(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", keep:
     parts = docs.select(run_of.cast("long").alias("bucket"), F.struct(*[col(c) for c in names]).alias("row"), held_out(col(doc_id)).alias("held"), col(text).cast("string").alias("text"))
     row = parts.schema["row"].dataType
     schema = T.StructType([T.StructField(n, t) for n, t in zip(NAMES, (T.LongType(), T.BinaryType(), T.IntegerType(), T.LongType(), row, T.BooleanType(), T.BinaryType()), strict=True)])
+    before = scratch_tables(spark)
     parts = save(parts.mapInArrow(_buckets, schema))
+    once_read = [t for t in scratch_tables(spark) if t not in before]
     words = parts.where("word is not null").select("bucket", "word", "number", "c")
     counts = save(words.groupBy("word").agg(F.sum("c").alias("n")))
+    release(spark)
     known = counts.where("n > 0")
     train, types = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = [bytes(r.word) for r in known.orderBy(F.desc("n"), "word").limit(OWN).collect()]
@@ -272,14 +275,13 @@ def score(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", keep:
         mass[r.k], once[r.k] = r.n, r.once
     unseen = (once + 1) / (mass + once + 2)
     lost = math.log10(train + types + 1)
-    held = spark.sparkContext.broadcast((classes, mass, unseen))
+    held = spark.sparkContext.broadcast((mass, unseen))
 
     def coded(docs: pa.Table, own: pa.Table) -> pa.Table:
-        classes, mass, unseen = held.value
+        mass, unseen = held.value
         number = own.column("number").to_numpy()
         n, k = np.zeros(len(number)), np.zeros(len(number), np.int64)
-        n[number] = own.column("n").to_numpy()
-        k[number] = classes.of(own.column("word").to_pylist())
+        n[number], k[number] = own.column("n").to_numpy(), own.column("k").to_numpy()
         base = np.log10(n + 1) - lost
         within = np.where(n > 0, np.log10(np.maximum(n, 1) / np.maximum(mass[k], 1) * (1 - unseen[k])), np.log10(unseen[k]))
         ids = [_unpacked(x) for x in docs.column("ids").to_pylist()]
@@ -289,11 +291,19 @@ def score(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", keep:
         ]
         return pa.table(out, names=["row", "held", "n_tokens", "n_known", "base_score", "within", "classes"])
 
-    counted = words.join(counts, "word").select("bucket", "word", "number", "n")
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(classes.of(batch.column(0).to_pylist()), pa.int32())], ["word", "n", "k"])
+
+    named = counts.mapInArrow(classed, "word binary, n long, k int")
+    counted = words.join(named, "word").select("bucket", "number", F.col("n").cast("int").alias("n") if train < 1 << 31 else "n", "k")
     texts = parts.where("word is null").select(F.col("bucket").alias("run"), "row", "held", "ids")
     fields = [("row", row), ("held", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("within", T.DoubleType()), ("classes", T.BinaryType())]
     table = save(texts.groupBy("run").cogroup(counted.groupBy("bucket")).applyInArrow(coded, T.StructType([T.StructField(*f) for f in fields])))
 
+    release(spark)
+    clear_scratch(spark, once_read)
+
     model = Hmm.first((mass + 1) / (mass + 1).sum())
     for _ in range(PASSES if train else 0):
         model = _trained(table, model)
