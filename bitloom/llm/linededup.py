@@ -10,6 +10,15 @@ A template recurs if it stands in at least MIN_DOCS different texts, between mos
 neighbours: more than half as many pairs of neighbouring lines as texts. Copies of a whole
 document repeat a line between the same neighbours, so they don't make it recur; they are the
 near-duplicate operator's work. All lines of a recurring template are dropped.
+
+A template between equal neighbours (inside a repeated block, or held by a group of near copies)
+recurs as well if MIN_DOCS of its texts have content of their own: more than OWN of their tokens,
+as far as sampled, stand in EDGE tokens at an edge of a line that no other text with such a
+template has. Near copies have less, by the measure of the near-duplicate operator: of two texts
+alike to 0.8, a ninth of each is its own.
+
+``op4_linededup`` leaves out that second way (``whole=False``): OP4_SQL defines its results.
+``op4_wholelines`` and the pipeline have it.
 """
 
 from __future__ import annotations
@@ -20,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import col, save
 
 DEPTH, SAME, MIN_DOCS, MIN_TOKENS = 4, 0.8, 5, 4
+EDGE, OWN = 5, 1 / 9
 #: Rows of leaves that may be broadcast: 8 bytes each, so 16 MB at most as data.
 LEAVES = 2_000_000
 
@@ -30,20 +40,23 @@ def masked(line: Column) -> Column:
     return F.when(line.rlike(r"[0-9\t-\r]|  |^ | $"), F.trim(F.regexp_replace(fields, r"[ \t-\r]+", " "))).otherwise(line)
 
 
-def _line(form: Column) -> Column:
-    """Hash, leaf and token count of a form; ``form`` must be a variable or a column."""
+def _line(form: Column, edges: bool = False) -> Column:
+    """Hash, leaf and token count of a form, and the hashes of its first and last EDGE tokens;
+    ``form`` must be a variable or a column."""
     n = F.when(form == "", 0).otherwise(F.octet_length(form) - F.octet_length(F.replace(form, F.lit(" "), F.lit(""))) + 1)
-    return F.struct(F.xxhash64(form).alias("h"), F.xxhash64(n, F.substring_index(form, " ", DEPTH)).alias("leaf"), n.alias("n"))
+    ends = [F.xxhash64(F.substring_index(form, " ", k)).alias(c) for c, k in (("first", EDGE), ("last", -EDGE))] if edges else []
+    return F.struct(F.xxhash64(form).alias("h"), F.xxhash64(n, F.substring_index(form, " ", DEPTH)).alias("leaf"), n.alias("n"), *ends)
 
 
-def _lines(docs: DataFrame, text: str) -> DataFrame:
-    """A row for each line: node (digest of its text), pos, h, leaf, n and its neighbours' hash."""
+def _lines(docs: DataFrame, text: str, whole: bool) -> DataFrame:
+    """A row for each line: node (digest of its text), pos, h, leaf, n, its neighbours' hash and,
+    for the whole job, those of its edges."""
     content = F.coalesce(col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.unhex(F.md5(content)).alias("node"), F.transform(F.transform(F.split(content, "\n"), masked), _line).alias("ls"))
+    rows = docs.select(F.unhex(F.md5(content)).alias("node"), F.transform(F.transform(F.split(content, "\n"), masked), lambda x: _line(x, whole)).alias("ls"))
 
     def near(x: Column, i: Column) -> Column:
         before = F.when(i > 0, F.get("ls", i - 1)["h"]).otherwise(F.lit(0))
-        return F.struct(i.alias("pos"), x["h"].alias("h"), x["leaf"].alias("leaf"), x["n"].alias("n"), F.xxhash64(before, F.coalesce(F.get("ls", i + 1)["h"], F.lit(0))).alias("near"))
+        return F.struct(i.alias("pos"), x["h"].alias("h"), x["leaf"].alias("leaf"), x["n"].alias("n"), F.xxhash64(before, F.coalesce(F.get("ls", i + 1)["h"], F.lit(0))).alias("near"), *[x[c].alias(c) for c in ("first", "last") if whole])
 
     return rows.select("node", F.explode(F.transform("ls", near)).alias("l")).select("node", "l.*")
 
@@ -64,19 +77,41 @@ def _generalised(docs: DataFrame, lines: DataFrame, text: str) -> DataFrame:
     return same.where(F.col("same") >= SAME * F.col("n")).select("h", F.xxhash64(F.lit("leaf"), "leaf").alias("template"))
 
 
-def flags(docs: DataFrame, *, text: str = "text") -> DataFrame:
+def _own_content(lines: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of ``nodes`` with content that no other of them has. Such an edge has one text, so
+    its count says whose it is, and no edge meets its texts in a join."""
+    held = lines.join(nodes, "node", "left_semi")
+    edges = F.array(F.struct(F.col("first").alias("u"), F.least("n", F.lit(EDGE)).alias("w")), F.struct(F.col("last").alias("u"), F.least(F.greatest(F.col("n") - EDGE, F.lit(0)), F.lit(EDGE)).alias("w")))
+    parts = save(held.select("node", F.xxhash64("node").alias("id"), F.explode(edges).alias("e")).select("node", "id", "e.u", "e.w").where("w > 0"))
+    alone = parts.groupBy("u").agg(F.min("id").alias("id"), F.max("id").alias("hi"), F.sum("w").alias("own")).where("id = hi").groupBy("id").agg(F.sum("own").alias("own"))
+    sizes = parts.groupBy("node", "id").agg(F.sum("w").alias("w"))
+    return sizes.join(alone, "id").where(F.col("own") > OWN * F.col("w")).select("node")
+
+
+def _recurring(lines: DataFrame, named: DataFrame, whole: bool) -> DataFrame:
+    seen = named.groupBy("template").agg(F.count_distinct("node").alias("docs"), F.count_distinct("near").alias("places")).where(F.col("docs") >= MIN_DOCS)
+    varied = 2 * F.col("places") > F.col("docs")
+    if not whole:
+        return seen.where(varied).select("template")
+    seen = save(seen)
+    held = save(named.join(seen.where(~varied), "template", "left_semi").select("template", "node").distinct())
+    own = _own_content(lines, held.select("node").distinct())
+    more = held.join(own, "node", "left_semi").groupBy("template").count().where(F.col("count") >= MIN_DOCS)
+    return seen.where(varied).select("template").unionByName(more.select("template"))
+
+
+def flags(docs: DataFrame, *, text: str = "text", whole: bool = True) -> DataFrame:
     """(node, drop): for each different text with a line to drop, whether each line goes."""
-    lines = save(_lines(docs, text))
+    lines = save(_lines(docs, text, whole))
     general = _generalised(docs, lines, text)
     named = save(lines.join(general, "h", "left").select("node", "pos", "near", "n", F.coalesce("template", "h").alias("template")))
-    seen = named.where(F.col("n") >= MIN_TOKENS).groupBy("template").agg(F.count_distinct("node").alias("docs"), F.count_distinct("near").alias("places"))
-    recurring = seen.where((F.col("docs") >= MIN_DOCS) & (2 * F.col("places") > F.col("docs"))).select("template", F.lit(True).alias("recurs"))
+    recurring = _recurring(lines, named.where(F.col("n") >= MIN_TOKENS), whole).withColumn("recurs", F.lit(True))
     judged = named.join(recurring, "template", "left").select("node", "pos", (F.coalesce("recurs", F.lit(False)) & (F.col("n") >= MIN_TOKENS)).alias("drop"))
     each = judged.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("pos", "drop"))).alias("ls"))
     return each.where(F.exists("ls", lambda x: x["drop"])).select("node", F.transform("ls", lambda x: x["drop"]).alias("drop"))
 
 
-def drop_lines(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def drop_lines(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None, whole: bool = True) -> DataFrame:
     """``docs`` with the text's remaining lines, n_lines and n_dropped.
 
     Lines are the parts between newlines, so an empty or null text has one empty line; lines of
@@ -84,7 +119,7 @@ def drop_lines(docs: DataFrame, *, text: str = "text", keep: list[str] | None =
     judged alike; columns named like a new one are replaced.
     """
     names = list(docs.columns) if keep is None else keep
-    marks = flags(docs, text=text)
+    marks = flags(docs, text=text, whole=whole)
     content = F.coalesce(col(text).cast("string"), F.lit(""))
     row = docs.select(F.struct(*[col(c) for c in names]).alias("row"), col(text).cast("string").alias("text"), F.unhex(F.md5(content)).alias("node"))
     joined = row.join(marks, "node", "left")
@@ -99,11 +134,21 @@ def drop_lines(docs: DataFrame, *, text: str = "text", keep: list[str] | None =
     return joined.select(*kept, *[e.alias(c) for c, e in new.items() if c not in names or c != text])
 
 
-def op4_linededup(spark, sf_dir: str) -> DataFrame:
-    done = drop_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"])
+def _digests(spark, sf_dir: str, whole: bool) -> DataFrame:
+    done = drop_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"], whole=whole)
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op4_linededup(spark, sf_dir: str) -> DataFrame:
+    """What OP4_SQL says."""
+    return _digests(spark, sf_dir, whole=False)
+
+
+def op4_wholelines(spark, sf_dir: str) -> DataFrame:
+    """The whole job, as in the pipeline. It has no SQL."""
+    return _digests(spark, sf_dir, whole=True)
+
+
 #: The same in DuckDB, with the templates themselves instead of their hashes. ``{docs}`` is the
 #: table to read.
 LINES_SQL = r"""

@@ -6,7 +6,7 @@ from .bpe import op6_bpe
 from .classifier import op8_quality
 from .decontaminate import op2_decontaminate
 from .licences import OP1_SQL, op1_licences
-from .linededup import OP4_SQL, op4_linededup
+from .linededup import OP4_SQL, op4_linededup, op4_wholelines
 from .lm import op10_lm
 from .neardup import op3_neardup
 from .rules import OP7_SQL, op7_rules
@@ -18,6 +18,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_neardup": op3_neardup,
     "op4_linededup": op4_linededup,
+    "op4_wholelines": op4_wholelines,
     "op5_repeats": op5_repeats,
     "op6_bpe": op6_bpe,
     "op7_rules": op7_rules,

@@ -200,6 +200,29 @@ def test_leaf_generalises_a_variable_word(spark):
     assert {r.n_dropped for r in linededup.drop_lines(df).collect()} == {1}
 
 
+def dropped(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r.n_dropped for r in linededup.drop_lines(df).collect()}
+
+
+def test_blocks_of_lines_go(spark):
+    header, footer = [prose(8) for _ in range(2)], [prose(9) for _ in range(5)]
+    got = dropped(spark, ["\n".join([*header, prose(30), prose(30), *footer]) for _ in range(8)])
+    assert set(got.values()) == {7}
+
+
+def test_near_copies_hide_no_template(spark):
+    line, body = prose(9), [prose(30) for _ in range(6)]
+    alone = [f"{prose(20)}\n{line}\n{prose(20)}" for _ in range(7)]
+    near = []
+    for i in range(24):
+        own = [x + f" edit{chr(97 + i)}" if k == i % 6 else x for k, x in enumerate(body)]
+        near.append("\n".join([*own[:3], line, *own[3:]]))
+    got = dropped(spark, alone + near)
+    assert set(got.values()) == {1}
+    assert set(dropped(spark, near).values()) == {0}
+
+
 # ---- 5 substrings
 
 
