@@ -5,6 +5,11 @@ token count, then DEPTH leading tokens, then the leaf. A leaf with several diffe
 a common form: at each place the most frequent token (of equals, the least). Lines that agree
 with it in at least SAME of the places share one template, whose other places are variable;
 every other line is a template of its own, but for its variable fields.
+The whole job takes a common form only where more than half of the lines agree with it, as that
+of several templates is a mixture. It goes on with all other lines: their leaf is split by the
+token at the place of its most frequent token that not all of them have (tokens of a single line
+stay together), and the parts are treated like leaves, until no two lines of a part have a token
+that another line lacks.
 
 A template recurs if it stands in at least MIN_DOCS different texts, between mostly different
 neighbours: more than half as many pairs of neighbouring lines as texts. Copies of a whole
@@ -17,7 +22,7 @@ as far as sampled, stand in EDGE tokens at an edge of a line that no other text
 template has. Near copies have less, by the measure of the near-duplicate operator: of two texts
 alike to 0.8, a ninth of each is its own.
 
-``op4_linededup`` leaves out that second way (``whole=False``): OP4_SQL defines its results.
+``op4_linededup`` leaves out that second way and the splitting (``whole=False``): OP4_SQL defines its results.
 ``op4_wholelines`` and the pipeline have it.
 """
 
@@ -61,8 +66,8 @@ def _lines(docs: DataFrame, text: str, whole: bool) -> DataFrame:
     return rows.select("node", F.explode(F.transform("ls", near)).alias("l")).select("node", "l.*")
 
 
-def _generalised(docs: DataFrame, lines: DataFrame, text: str) -> DataFrame:
-    """(h, template) of the lines that agree with the common form of their leaf."""
+def _generalised(docs: DataFrame, lines: DataFrame, text: str, whole: bool) -> DataFrame:
+    """(h, template) of the lines that agree with the common form of their leaf, or of a part."""
     leaves = lines.where(F.col("n") >= MIN_TOKENS).groupBy("leaf").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("leaf")
     leaves = save(leaves)
     content = F.coalesce(col(text).cast("string"), F.lit(""))
@@ -70,11 +75,38 @@ def _generalised(docs: DataFrame, lines: DataFrame, text: str) -> DataFrame:
     own = own.select("form", "l.h", "l.leaf", "l.n").where(F.col("n") >= MIN_TOKENS)
     own = own.join(F.broadcast(leaves) if leaves.count() <= LEAVES else leaves, "leaf", "left_semi")
     own = save(own.groupBy("h", "leaf", "n").agg(F.first("form").alias("form")))
-    tokens = own.select("h", "leaf", "n", F.posexplode(F.split("form", " ")).alias("pos", "token"))
-    common = tokens.groupBy("leaf", "pos", "token").agg(F.count("*").alias("k"))
-    common = common.groupBy("leaf", "pos").agg(F.min(F.struct((-F.col("k")).alias("k"), "token")).alias("m")).select("leaf", "pos", F.col("m.token").alias("token"))
-    same = tokens.join(common, ["leaf", "pos", "token"]).groupBy("h", "leaf", "n").agg(F.count("*").alias("same"))
-    return same.where(F.col("same") >= SAME * F.col("n")).select("h", F.xxhash64(F.lit("leaf"), "leaf").alias("template"))
+    own = own.withColumn("g", F.xxhash64(F.lit("leaf"), "leaf"))
+    found = None
+    while True:
+        tokens = own.select("h", "g", "n", F.posexplode(F.split("form", " ")).alias("pos", "token"))
+        counts = tokens.groupBy("g", "pos", "token").agg(F.count("*").alias("k"))
+        common = counts.groupBy("g", "pos").agg(F.min(F.struct((-F.col("k")).alias("k"), "token")).alias("m")).select("g", "pos", F.col("m.token").alias("token"))
+        same = tokens.join(common, ["g", "pos", "token"]).groupBy("h", "g", "n").agg(F.count("*").alias("same"))
+        named = same.where(F.col("same") >= SAME * F.col("n")).select("h", F.col("g").alias("template"))
+        if not whole:
+            return named
+        settled = named.groupBy("template").agg(F.count("*").alias("k")).join(own.groupBy("g").agg(F.count("*").alias("size")), F.col("g") == F.col("template")).where("2 * k > size")
+        named = save(named.join(settled.select("template"), "template", "left_semi").select("h", "template"))
+        found = named if found is None else found.unionByName(named)
+        own = _split(own.join(named, "h", "left_anti"))
+        if own.isEmpty():
+            return found
+
+
+def _split(left: DataFrame) -> DataFrame:
+    """The lines in smaller groups, without those that are alone. No group has all lines of
+    another, so splitting ends."""
+    left = save(left)
+    sizes = left.groupBy("g").agg(F.count("*").alias("size")).where("size > 1")
+    tokens = left.select("g", F.posexplode(F.split("form", " ")).alias("pos", "token"))
+    counts = tokens.groupBy("g", "pos", "token").agg(F.count("*").alias("k")).where("k > 1").join(sizes, "g").where("k < size")
+    counts = save(counts)
+    place = counts.groupBy("g").agg(F.max(F.struct("k", (-F.col("pos")).alias("p"))).alias("m")).select("g", (-F.col("m.p")).alias("pos"))
+    parts = counts.join(place, ["g", "pos"]).select("g", "token", F.lit(True).alias("often"))
+    at = left.join(place, "g").withColumn("token", F.get(F.split("form", " "), F.col("pos")))
+    parted = at.join(parts, ["g", "token"], "left").select("h", "leaf", "n", "form", F.xxhash64("g", "pos", F.when(F.col("often"), F.col("token"))).alias("g"))
+    parted = save(parted)
+    return parted.join(parted.groupBy("g").count().where("count > 1").select("g"), "g", "left_semi").select("h", "leaf", "n", "form", "g")
 
 
 def _own_content(lines: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -103,7 +135,7 @@ def _recurring(lines: DataFrame, named: DataFrame, whole: bool) -> DataFrame:
 def flags(docs: DataFrame, *, text: str = "text", whole: bool = True) -> DataFrame:
     """(node, drop): for each different text with a line to drop, whether each line goes."""
     lines = save(_lines(docs, text, whole))
-    general = _generalised(docs, lines, text)
+    general = _generalised(docs, lines, text, whole)
     named = save(lines.join(general, "h", "left").select("node", "pos", "near", "n", F.coalesce("template", "h").alias("template")))
     recurring = _recurring(lines, named.where(F.col("n") >= MIN_TOKENS), whole).withColumn("recurs", F.lit(True))
     judged = named.join(recurring, "template", "left").select("node", "pos", (F.coalesce("recurs", F.lit(False)) & (F.col("n") >= MIN_TOKENS)).alias("drop"))

@@ -223,6 +223,15 @@ def test_near_copies_hide_no_template(spark):
     assert set(dropped(spark, near).values()) == {0}
 
 
+def test_leaf_holds_several_templates(spark):
+    names = ["anna", "boris", "clara", "dmitri", "elena", "farid"]
+    ends = ["on the wiki of our town", "from the mirror in the north"]
+    lines = [f"this page was last {a} {n} {e}" for a, e in zip(("edited by", "copied to"), ends, strict=True) for n in names]
+    other = [f"this page was last {prose(8)}" for _ in range(12)]
+    got = dropped(spark, [f"{prose(9)}\n{x}\n{prose(7)}" for x in lines + other])
+    assert [got[i] for i in range(24)] == [1] * 12 + [0] * 12
+
+
 # ---- 5 substrings
 
 
