@@ -22,7 +22,8 @@ as far as sampled, stand in EDGE tokens at an edge of a line that no other text
 template has. Near copies have less, by the measure of the near-duplicate operator: of two texts
 alike to 0.8, a ninth of each is its own.
 
-``op4_linededup`` leaves out that second way and the splitting (``whole=False``): OP4_SQL defines its results.
+``op4_linededup`` leaves out that second way, the splitting and lines of fewer than
+MIN_TOKENS tokens (``whole=False``): OP4_SQL defines its results.
 ``op4_wholelines`` and the pipeline have it.
 """
 
@@ -137,8 +138,9 @@ def flags(docs: DataFrame, *, text: str = "text", whole: bool = True) -> DataFra
     lines = save(_lines(docs, text, whole))
     general = _generalised(docs, lines, text, whole)
     named = save(lines.join(general, "h", "left").select("node", "pos", "near", "n", F.coalesce("template", "h").alias("template")))
-    recurring = _recurring(lines, named.where(F.col("n") >= MIN_TOKENS), whole).withColumn("recurs", F.lit(True))
-    judged = named.join(recurring, "template", "left").select("node", "pos", (F.coalesce("recurs", F.lit(False)) & (F.col("n") >= MIN_TOKENS)).alias("drop"))
+    least = 1 if whole else MIN_TOKENS
+    recurring = _recurring(lines, named.where(F.col("n") >= least), whole).withColumn("recurs", F.lit(True))
+    judged = named.join(recurring, "template", "left").select("node", "pos", (F.coalesce("recurs", F.lit(False)) & (F.col("n") >= least)).alias("drop"))
     each = judged.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("pos", "drop"))).alias("ls"))
     return each.where(F.exists("ls", lambda x: x["drop"])).select("node", F.transform("ls", lambda x: x["drop"]).alias("drop"))
 
@@ -146,8 +148,9 @@ def flags(docs: DataFrame, *, text: str = "text", whole: bool = True) -> DataFra
 def drop_lines(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None, whole: bool = True) -> DataFrame:
     """``docs`` with the text's remaining lines, n_lines and n_dropped.
 
-    Lines are the parts between newlines, so an empty or null text has one empty line; lines of
-    fewer than MIN_TOKENS tokens always stay. A null text stays null. Repeated rows are all
+    Lines are the parts between newlines, so an empty or null text has one empty line; lines
+    without tokens always stay. Lines of fewer than MIN_TOKENS tokens are templates of their own
+    form, and stay if not ``whole``. A null text stays null. Repeated rows are all
     judged alike; columns named like a new one are replaced.
     """
     names = list(docs.columns) if keep is None else keep

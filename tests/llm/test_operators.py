@@ -232,6 +232,11 @@ def test_leaf_holds_several_templates(spark):
     assert [got[i] for i in range(24)] == [1] * 12 + [0] * 12
 
 
+def test_short_lines_go(spark):
+    got = dropped(spark, [f"{prose(9)}\n\n{prose(7)}\nAll rights reserved.\nPage {i}\nnext" for i in range(8)] + [f"{prose(9)}\nonce more"] * 3)
+    assert [got[i] for i in range(11)] == [3] * 8 + [0] * 3
+
+
 # ---- 5 substrings
 
 
