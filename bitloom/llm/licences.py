@@ -9,6 +9,8 @@ broadcast hash join. Each line of a document is a text of its own too, so notice
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,9 @@ SPELLINGS = {
 }
 #: Characters replaced one for one before anything else: curly quotes and dashes.
 CURLY, PLAIN = "‘’“”‐‑–—", "''\"\"----"
-#: Known notices (fixed values): identifier and text. Longer licence texts come as a table.
+#: Entire licence texts, one file for each identifier.
+TEXTS = Path(__file__).parent / "texts"
+#: Known notices (fixed values): identifier and text.
 NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\");"),
@@ -71,6 +75,13 @@ def notices(spark) -> DataFrame:
     return spark.createDataFrame(NOTICES, "license string, text string")
 
 
+def known_texts(spark) -> DataFrame:
+    """The notices and the entire licence texts. The MIT text counts with and without its title."""
+    texts = [(p.stem, p.read_text(encoding="utf-8")) for p in sorted(TEXTS.glob("*.txt"))]
+    titled = [(i, f"{title}\n{t}") for i, t in texts for title in ("MIT License", "The MIT License", "The MIT License (MIT)") if i == "MIT"]
+    return spark.createDataFrame(NOTICES + texts + titled, "license string, text string")
+
+
 def scan(docs: DataFrame, known: DataFrame, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with text_digest, license (of the entire text, else null) and notices (sorted
     identifiers of lines that are entire known texts, joined by commas; else empty).
@@ -94,7 +105,7 @@ def scan(docs: DataFrame, known: DataFrame, *, text: str = "text", keep: list[st
 
 
 def op1_licences(spark, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), notices(spark), keep=["doc_id"])
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), known_texts(spark), keep=["doc_id"])
 
 
 def _sql_canonical(text: str) -> str:

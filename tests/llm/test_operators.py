@@ -64,6 +64,16 @@ def test_licences(spark, docs, empty):
     assert docs.limit(0).select(licences.canonical(F.lit(None).cast("string"))).count() == 0
 
 
+def test_entire_licence_texts_are_known(spark, tmp_path):
+    texts = {p.stem: p.read_text() for p in licences.TEXTS.glob("*.txt")}
+    mit = "MIT License\n\nCopyright (c) 2021 Someone\n\n" + "\n".join(x for x in texts["MIT"].split("\n") if "Copyright (c)" not in x)
+    rows = [*texts.items(), ("MIT", mit), (None, mit + " But not so.")]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string").write.parquet(path)
+    got = {r.doc_id: r.license for r in licences.op1_licences(spark, str(tmp_path)).collect()}
+    assert len(texts) == 9 and [got[i] for i in range(len(rows))] == [x for x, _ in rows]
+
+
 # ---- 2 decontamination
 
 
