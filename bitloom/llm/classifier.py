@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLD, buffers, col, map_texts, mixed, pieces, span_hashes
+from .common import GOLD, buffers, col, filter_texts, map_texts, mixed, pieces, span_hashes
 
 SLOTS, DIM, REACH, PICKS = 4096, 32, 2, 2
 HIDDEN, EPOCHS = 24, 400
@@ -203,6 +203,18 @@ def score(docs: DataFrame, labels: DataFrame, *, text: str = "text", keep: list[
     return map_texts(docs, text, "score double, predicted int", make, keep)
 
 
+def accepted(docs: DataFrame, labels: DataFrame, *, text: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that ``score`` predicts as 1, all columns as they are."""
+    vectors, network = fit(docs, labels, text=text, sample=sample)
+    held = docs.sparkSession.sparkContext.broadcast((vectors, network))
+
+    def make():
+        v, net = held.value
+        return lambda texts: net.score(features(texts, v)) >= THRESHOLD if net else np.full(len(texts), 0.5 >= THRESHOLD)
+
+    return filter_texts(docs, text, make)
+
+
 def op8_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scored = score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=["doc_id"])

@@ -96,24 +96,50 @@ def pieces(offsets: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int,
         start = end
 
 
+def _slices(column: pa.Array, limit: int) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Row ranges of a string column and their texts; only one range's texts are copied at a time."""
+    data, offsets = buffers(column)
+    view = memoryview(data)
+    for lo, hi in pieces(offsets, limit):
+        yield lo, hi, [view[offsets[i] : offsets[i + 1]].tobytes() for i in range(lo, hi)]
+
+
+def filter_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list[bytes]], np.ndarray]], limit: int = PIECE_BYTES) -> DataFrame:
+    """The rows of ``df`` whose text a function accepts (it returns a boolean for each text; a
+    null counts as empty), all columns as they are. Each text passes to Python once."""
+    place = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            for lo, hi, texts in _slices(batch.column(place).cast(pa.string()), limit):
+                yield batch.slice(lo, hi - lo).filter(pa.array(work(texts), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def map_texts(
     df: DataFrame,
     text: str,
     fields: str,
     make: Callable[[], Callable[[list[bytes]], list]],
     keep: list[str] | None = None,
+    limit: int = PIECE_BYTES,
 ) -> DataFrame:
     """Add columns computed from whole texts, in Arrow batches and without a shuffle.
 
     ``make()`` runs once in each task and returns a function from a list of UTF-8 texts
     (null: empty) to one list or Arrow array for each of ``fields`` (a DDL string). Columns
     of ``keep`` (all by default) travel in a struct, so they may have any names; where one
-    has the name of a new column, the new one takes its place.
+    has the name of a new column, the new one takes its place. The text itself travels once,
+    kept or not. ``limit`` bounds the bytes of text that one call holds.
     """
     keep = list(df.columns) if keep is None else keep
     ddl = [f.strip().split(None, 1) for f in fields.split(",")]
     names = [n for n, _ in ddl]
-    row = F.struct(*[col(c) for c in keep]) if keep else F.struct(F.lit(1).alias("_"))
+    whole_text = text in keep and text not in names and df.schema[text].dataType == T.StringType()
+    carried = [c for c in keep if not (whole_text and c == text)]
+    row = F.struct(*[col(c) for c in carried]) if carried else F.struct(F.lit(1).alias("_"))
     packed = df.select(row.alias("row"), col(text).cast("string").alias("text"))
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
     types = [kinds[t] for _, t in ddl]
@@ -121,17 +147,15 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
-            raw = data.tobytes()
-            for lo, hi in pieces(offsets):
-                texts = [raw[offsets[i] : offsets[i + 1]] for i in range(lo, hi)]
+            for lo, hi, texts in _slices(batch.column(1), limit):
                 arrays = [a if isinstance(a, pa.Array) else pa.array(a, t) for a, t in zip(work(texts), types, strict=True)]
                 out = pa.StructArray.from_arrays(arrays, names)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), out], ["row", "out"])
+                whole = [batch.column(1).slice(lo, hi - lo)] if whole_text else []
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *whole, out], ["row", *["text"] * whole_text, "out"])
 
-    whole = T.StructType([T.StructField("row", packed.schema["row"].dataType), T.StructField("out", T._parse_datatype_string(fields))])
-    done = packed.mapInArrow(run, whole)
-    kept = [F.col("row." + quoted(c)).alias(c) for c in keep if c not in names]
+    schema = [T.StructField("row", packed.schema["row"].dataType), *[T.StructField("text", T.StringType())] * whole_text, T.StructField("out", T._parse_datatype_string(fields))]
+    done = packed.mapInArrow(run, T.StructType(schema))
+    kept = [(F.col("text") if whole_text and c == text else F.col("row." + quoted(c))).alias(c) for c in keep if c not in names]
     return done.select(*kept, *[F.col("out." + quoted(n)).alias(n) for n in names])
 
 

@@ -1,44 +1,58 @@
 """Language-model scoring with a hidden Markov model.
 
 Tokens are words and one end for each text. The corpus gives every token's count. The model's
-symbols are classes of tokens: each of the OWN most frequent tokens is a class of its own, any
-other falls into a class by the form of its ending and its length. A text's probability is
-that of its class sequence under the hidden Markov model times, for each token, its share of
-its class; a class keeps a share for unknown words of its form, as large as its words seen once.
-So the probabilities of all known words and of "an unknown word of this form" sum to one.
+symbols are classes of tokens: the most frequent words, OWN_SCALE times the root of the number of
+different tokens, are classes of their own, so the model grows with the corpus; any other word
+falls into a class by its form (its last two bytes and its length).
+
+A text's probability is that of its class sequence under the hidden Markov model times, for each
+token, its share of its class. A class by form keeps a share for unknown words, as large as its
+words seen once, and deals it to *all* byte strings of that form that are not known, by a byte
+model: independent bytes and an end, with the shares found in the different words. The byte
+model's mass of a form has a closed form, so the shares of a class sum to one, and with them the
+probabilities of all texts.
 
 Baum-Welch: each pass runs the scaled forward and backward recursions over all training texts
 (numpy, many texts in step); tasks send expected counts, whose number is fixed by the model,
 and the sums give the next parameters. The final score is the scaled forward recursion's exact
 likelihood.
 
-Texts are read once. Runs of rows of about BUCKET_BYTES become buckets with a vocabulary of
-their own: token numbers instead of words, and one row for each different word. Those rows meet
-the corpus counts and return to their bucket, so no task holds more than a bucket's vocabulary.
+Two passes read the texts. The first counts words. The second knows the HEAD most frequent words
+by broadcast and codes every token as its class. Other words are numbered within a bucket of
+about BUCKET_BYTES of text: one row for each of them meets the corpus counts and returns to its
+bucket, so neither a frequent word nor a whole text passes a join.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
-from collections import defaultdict
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buffers, clear_scratch, col, release, save, scratch_tables, text_bytes
+from .common import buffers, clear_scratch, col, release, save, scratch_tables
 
-OWN, FORMS, STATES, PASSES = 1000, 1024, 8, 4
-BUCKET_BYTES = 12 << 20
+OWN_SCALE, FORMS, STATES, PASSES = 2, 1024, 8, 4
+#: Words that are broadcast with their counts: at most so many, of at most HEAD_WORD bytes.
+HEAD, HEAD_WORD = 1 << 16, 64
+BUCKET_BYTES, BUCKET_ROWS = 12 << 20, 1 << 20
+#: Bytes of a text that are split into words at once, and words counted before they are sent on.
+STRETCH, COUNTED = 1 << 20, 200_000
 CELLS = 1 << 18
 FOLDS, HELD = 7, 2
 #: The end of a text; no word has a blank.
 END = b" "
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Bytes that a word may hold.
+INNER = np.array([not (c == 32 or 9 <= c <= 13 or 65 <= c <= 90) for c in range(256)])
+_GAP = re.compile(rb"[ \t-\r]")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -46,91 +60,208 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % FOLDS == HELD, F.lit(False))
 
 
-def _numbered(docs: list[tuple[int, bool, bytes]]) -> tuple[list[bytes], np.ndarray, list[bytes]]:
-    """A bucket's vocabulary by falling frequency, its counts in training texts, and each
-    text's token numbers: all low 16 bits, then all high 16 bits."""
-    known: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
-    known[END]
-    look = known.__getitem__
-    ids = [np.array([*map(look, text.translate(LOWER).split()), 0], np.int64) for _, _, text in docs]
-    both = np.zeros(len(known), np.int64)
-    train = np.zeros(len(known), np.int64)
-    for (_, held, _), x in zip(docs, ids, strict=True):
-        if len(x) * 8 > len(known):
-            n = np.bincount(x, minlength=len(known))
-            both += n
-            train += 0 if held else n
-        else:
-            np.add.at(both, x, 1)
-            if not held:
-                np.add.at(train, x, 1)
-    order = np.argsort(-both, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    words = list(known)
-    packed = [((y := place[x]) & 0xFFFF).astype("<u2").tobytes() + (y >> 16).astype("<u2").tobytes() for x in ids]
-    return [words[i] for i in order], train[order], packed
-
-
-def _unpacked(raw: bytes) -> np.ndarray:
-    low, high = np.frombuffer(raw, "<u2").reshape(2, -1).astype(np.int64)
-    return low | high << 16
-
-
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (bucket, row, held, text); rows of a bucket follow each other."""
-    kept: list[tuple[pa.Array, list]] = []
-    now = None
-
-    def done() -> Iterator[pa.RecordBatch]:
-        docs = [d for _, ds in kept for d in ds]
-        words, train, packed = _numbered(docs)
-        rows = pa.chunked_array([a for a, _ in kept]).combine_chunks()
-        rows = rows if isinstance(rows, pa.Array) else pa.concat_arrays(rows.chunks)
-        none = lambda n, t: pa.nulls(n, t)
-        n, m = len(words), len(docs)
-        yield pa.RecordBatch.from_arrays([pa.array([now] * n, pa.int64()), pa.array(words, pa.binary()), pa.array(np.arange(n), pa.int32()), pa.array(train), none(n, rows.type), none(n, pa.bool_()), none(n, pa.binary())], NAMES)
-        yield pa.RecordBatch.from_arrays([pa.array([now] * m, pa.int64()), none(m, pa.binary()), none(m, pa.int32()), none(m, pa.int64()), rows, pa.array([h for _, h, _ in docs]), pa.array(packed, pa.binary())], NAMES)
+def word_lists(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, STRETCH bytes at a time, so that a long text is never a long list."""
+    low, at = text.translate(LOWER), 0
+    while at < len(low):
+        cut = _GAP.search(low, at + STRETCH) if at + STRETCH < len(low) else None
+        end = cut.start() if cut else len(low)
+        yield low[at:end].split()
+        at = end
+
+
+def _texts(column: pa.Array) -> Iterator[bytes]:
+    data, offsets = buffers(column)
+    view = memoryview(data)
+    for i in range(len(offsets) - 1):
+        yield view[offsets[i] : offsets[i + 1]].tobytes()
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to (word, n); a word may have several rows."""
+    found: Counter[bytes] = Counter()
+
+    def sent() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+        found.clear()
+        return out
 
     for batch in batches:
-        data, offsets = buffers(batch.column(3))
-        raw, ids = data.tobytes(), batch.column(0).to_numpy()
-        held = batch.column(2).to_pylist()
-        cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            if lo == hi:
-                continue
-            if kept and ids[lo] != now:
-                yield from done()
-                kept = []
-            now = int(ids[lo])
-            kept.append((batch.column(1).slice(lo, hi - lo), [(i, held[i], raw[offsets[i] : offsets[i + 1]]) for i in range(lo, hi)]))
-    if kept:
-        yield from done()
-
-
-NAMES = ["bucket", "word", "number", "c", "row", "held", "ids"]
-
-
-class Classes:
-    """The class of a token: 0 the end, then the most frequent words, then forms."""
-
-    def __init__(self, own: list[bytes]):
-        self.own = {END: 0} | {w: i + 1 for i, w in enumerate(x for x in own if x != END)}
-        self.size = len(self.own) + FORMS
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        get, base = self.own.get, len(self.own)
-        out = np.empty(len(words), np.int64)
-        for i, w in enumerate(words):
-            k = get(w)
-            if k is None:
-                end = w.rstrip(b".,;:!?")[-3:]
-                k = base + (int.from_bytes(end, "little") * 0x9E3779B1 + (min(len(w), 40) // 4) * 0x85EBCA6B + (len(w) != len(w.rstrip(b".,;:!?"))) >> 7) % FORMS
-            out[i] = k
+        for text in _texts(batch.column(0)):
+            found[END] += 1
+            for words in word_lists(text):
+                found.update(words)
+                if len(found) > COUNTED:
+                    yield sent()
+    if found:
+        yield sent()
+
+
+class Spelling:
+    """A byte model of words: independent bytes, then an end; its mass of each form is known."""
+
+    def __init__(self, bytes_seen: np.ndarray, words_seen: float):
+        seen = np.where(INNER, bytes_seen + 1.0, 0.0)
+        total = seen.sum() + words_seen + 1
+        self.byte, self.end = seen / total, (words_seen + 1) / total
+        with np.errstate(divide="ignore"):
+            self.log = np.log10(self.byte)
+        self.last = math.log10(self.end / (1 - self.end))
+
+    def of(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """log10 probabilities of words that lie end to end."""
+        return np.add.reduceat(self.log[data], starts) + self.last if len(starts) else np.zeros(0)
+
+    def masses(self) -> np.ndarray:
+        """The probability of all words of each form."""
+        out = np.zeros(FORMS)
+        one = np.flatnonzero(INNER)
+        np.add.at(out, form(one, np.full(len(one), -1), 1), self.byte[one] * self.end / (1 - self.end))
+        b, a = (x.ravel() for x in np.meshgrid(one, one))
+        pair = self.byte[a] * self.byte[b] * self.end / (1 - self.end)
+        on = 1 - self.end
+        for bucket in range(11):  # words of n = 4 * bucket .. 4 * bucket + 3 bytes; the last has no upper end
+            low = max(2, 4 * bucket)
+            lengths = on ** (low - 2) / self.end if bucket == 10 else sum(on ** (n - 2) for n in range(low, 4 * bucket + 4))
+            out += np.bincount(form(b, a, 4 * bucket), pair * lengths, FORMS)
         return out
 
 
+def form(last: np.ndarray, before: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """The form of a word by its last byte, the one before (-1: none) and its length."""
+    bucket = np.minimum(size, 40) // 4
+    return ((last + 257 * (before + 1)) * 0x9E3779B1 + bucket * 0x85EBCA6B >> 7) % FORMS
+
+
+def laid_out(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, first bytes and lengths of words laid end to end."""
+    size = np.array([len(w) for w in words], np.int64)
+    return np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size
+
+
+def forms_of(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    last = data[starts + size - 1].astype(np.int64)
+    before = np.where(size > 1, data[np.maximum(starts + size - 2, 0)].astype(np.int64), -1)
+    return form(last, before, size)
+
+
+class Lexicon:
+    """What the second pass knows of the corpus; its size is bounded by HEAD and the forms.
+
+    Classes: 0 the end, then the own words, then the forms.
+    """
+
+    def __init__(self, train: int, types: int, head: list[tuple[bytes, int]]):
+        self.train, self.types = train, types
+        self.own = min(len(head), math.ceil(OWN_SCALE * types**0.5))
+        self.number = {END: 0} | {w: i + 1 for i, (w, _) in enumerate(head)}
+        self.count = np.array([0] + [n for _, n in head])  # the end's count comes with learn()
+        self.classes = 1 + self.own + FORMS
+        data, starts, size = laid_out([w for w, _ in head])
+        own_forms = 1 + self.own + forms_of(data, starts, size) if head else np.zeros(0, np.int64)
+        self.klass = np.append(0, np.where(np.arange(len(head)) < self.own, np.arange(1, len(head) + 1), own_forms))
+
+    def learn(self, ends: int, mass: np.ndarray, once: np.ndarray, spelling: Spelling, spelled: np.ndarray) -> None:
+        """``mass`` and ``once``: tokens, and words seen once, of each form but for own words;
+        ``spelled``: the byte model's mass of the known words of each form, own words too."""
+        self.count[0] = ends
+        self.spelling = spelling
+        self.mass = np.concatenate([[ends], self.count[1 : 1 + self.own], mass])
+        unseen = np.where(mass > 0, (once + 1) / (mass + once + 2), 1.0)
+        left = np.maximum(spelling.masses() - spelled, 1e-300)
+        self.unknown = np.log10(unseen) - np.log10(left)
+        share = np.concatenate([np.ones(1 + self.own), 1 - unseen])
+        with np.errstate(divide="ignore"):
+            self.known = np.log10(share) - np.log10(np.maximum(self.mass, 1))
+            self.within = np.log10(self.count) + self.known[self.klass]  # of head words
+
+
+class _Vocabulary(dict):
+    """Numbers of words; a new word takes the next number."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+NAMES = ["bucket", "word", "number", "known", "unknown", "place", "row", "held", "n_tokens", "n_known", "base", "within", "classes", "tail"]
+
+
+def _coding(held, row_type: pa.DataType):
+    """Batches of (row, held, text) to rows of texts (place, figures of head words, classes of
+    all tokens, numbers of the others) and rows of a bucket's other words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon: Lexicon = held.value
+        head = len(lexicon.number)
+        code = np.dtype("<u2" if lexicon.classes <= 1 << 16 else "<u4")
+        base_of = np.log10(lexicon.count + 1.0)
+        task = TaskContext.get().partitionId() << 20
+        bucket, size = 0, 0
+        numbers = _Vocabulary(lexicon.number)
+        docs: list[tuple] = []
+
+        def texts_rows() -> pa.RecordBatch:
+            m = len(docs)
+            cols = list(zip(*[d[2:] for d in docs], strict=True))
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary())
+            rows = pa.concat_arrays([d[0] for d in docs])
+            places = (task + bucket << 20) + np.arange(m)
+            return pa.RecordBatch.from_arrays([pa.array([task + bucket] * m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.array(places), rows, pa.array([d[1] for d in docs], pa.bool_()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], NAMES)
+
+        def words_rows() -> pa.RecordBatch:
+            words = list(numbers)[head:]
+            n = len(words)
+            data, starts, sizes = laid_out(words)
+            f = forms_of(data, starts, sizes)
+            known, unknown = lexicon.known[1 + lexicon.own + f], lexicon.unknown[f] + lexicon.spelling.of(data, starts)
+            kinds = (pa.int64(), row_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([task + bucket] * n, pa.int64()), pa.array(words, pa.binary()), pa.array(np.arange(n), pa.int32()), pa.array(known), pa.array(unknown), *[pa.nulls(n, k) for k in kinds]], NAMES)
+
+        def coded(text: bytes, grown: np.ndarray) -> tuple[tuple, np.ndarray]:
+            tokens, known, base, within, classes, tails = 1, int(lexicon.count[0] > 0), base_of[0], 0.0, [], []
+            if lexicon.count[0] > 0:
+                within += lexicon.within[0]
+            for words in word_lists(text):
+                x = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+                if len(numbers) - head > len(grown):  # forms of the words that are new in this bucket
+                    fresh = list(numbers)[head + len(grown) :] if len(grown) == 0 else _last(numbers, len(numbers) - head - len(grown))
+                    grown = np.append(grown, 1 + lexicon.own + forms_of(*laid_out(fresh)))
+                front = x < head
+                own = x[front]
+                tokens, known = tokens + len(x), known + len(own)
+                base, within = base + base_of[own].sum(), within + lexicon.within[own].sum()
+                k = np.empty(len(x), np.int64)
+                k[front], k[~front] = lexicon.klass[own], grown[x[~front] - head]
+                classes.append(k.astype(code).tobytes())
+                tails.append((x[~front] - head).astype("<u4").tobytes())
+            classes.append(np.zeros(1, code).tobytes())
+            return (tokens, known, float(base), float(within), b"".join(classes), b"".join(tails)), grown
+
+        grown = np.zeros(0, np.int64)
+        for batch in batches:
+            own = batch.column(1).to_pylist()
+            for i, text in enumerate(_texts(batch.column(2))):
+                figures, grown = coded(text, grown)
+                docs.append((batch.column(0).slice(i, 1), own[i], *figures))
+                size += len(text)
+                if size >= BUCKET_BYTES or len(docs) >= BUCKET_ROWS:
+                    yield texts_rows()
+                    yield words_rows()
+                    bucket, size, docs, numbers, grown = bucket + 1, 0, [], _Vocabulary(lexicon.number), np.zeros(0, np.int64)
+        if docs:
+            yield texts_rows()
+            yield words_rows()
+
+    return run
+
+
+def _last(numbers: dict, n: int) -> list[bytes]:
+    """The n newest words."""
+    newest = reversed(numbers)
+    return [next(newest) for _ in range(n)][::-1]
+
+
 class Hmm:
     """Scaled recursions over many class sequences at once."""
 
@@ -208,8 +339,9 @@ class Hmm:
                 emit[k] += np.bincount(mark, gamma[:, k], emit.shape[1])
 
 
-def _classes_of(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, "<u2").astype(np.int64) for x in column.to_pylist()]
+def _classes_of(column: pa.Array, model: Hmm) -> list[np.ndarray]:
+    code = "<u2" if model.emit.shape[1] <= 1 << 16 else "<u4"
+    return [np.frombuffer(x, code).astype(np.int64) for x in column.to_pylist()]
 
 
 def _trained(coded: DataFrame, model: Hmm) -> Hmm:
@@ -220,7 +352,7 @@ def _trained(coded: DataFrame, model: Hmm) -> Hmm:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = (np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, size)))
         for batch in batches:
-            held.value.expected(_classes_of(batch.column(0)), sums)
+            held.value.expected(_classes_of(batch.column(0), held.value), sums)
         flat = np.concatenate([x.ravel() for x in sums])
         some = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(flat[some])], ["place", "v"])
@@ -235,91 +367,123 @@ def _trained(coded: DataFrame, model: Hmm) -> Hmm:
     return Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
 
 
+def _lexicon(known: DataFrame) -> Lexicon:
+    """From (word, n): the head by a threshold on n, found in a histogram, and figures by form."""
+    words = known.where(F.col("word") != F.lit(bytearray(END)))
+    train, types, ends = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(bytearray(END)), F.col("n"))), F.lit(0))).first()
+    short = words.where(F.octet_length("word") <= HEAD_WORD)
+    level = F.floor(F.log2("n") * 16)
+    total, least = 0, None
+    for r in short.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # at most 16 * 63 levels
+        total += r["count"]
+        if total > HEAD:
+            break
+        least = r.level
+    head = [] if least is None else [(bytes(r.word), r.n) for r in short.where(level >= least).collect()]  # at most HEAD rows
+    head.sort(key=lambda x: (-x[1], x[0]))
+    lexicon = Lexicon(train, types, head)
+    first = words.sparkSession.sparkContext.broadcast(lexicon)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = {w for w, i in first.value.number.items() if 1 <= i <= first.value.own}
+        mass, once, seen = np.zeros(FORMS), np.zeros(FORMS), np.zeros(257)
+        for batch in batches:
+            listed, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            data, starts, size = laid_out(listed)
+            seen[:256] += np.bincount(data, minlength=256)
+            seen[256] += len(listed)
+            rest = np.array([w not in own for w in listed], bool)
+            f = forms_of(data, starts, size)
+            mass += np.bincount(f[rest], n[rest], FORMS)
+            once += np.bincount(f[rest], n[rest] == 1, FORMS)
+        flat = np.concatenate([mass, once, seen])
+        some = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(flat[some])], ["place", "v"])
+
+    def summed_up(run, size: int) -> np.ndarray:
+        flat = np.zeros(size)
+        for r in words.mapInArrow(run, "place int, v double").groupBy("place").agg(F.sum("v").alias("v")).collect():  # at most ``size`` rows
+            flat[r.place] = r.v
+        return flat
+
+    flat = summed_up(summed, 2 * FORMS + 257)
+    spelling = Spelling(flat[2 * FORMS : 2 * FORMS + 256], flat[-1])
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(FORMS)
+        for batch in batches:
+            data, starts, size = laid_out(batch.column(0).to_pylist())
+            total += np.bincount(forms_of(data, starts, size), 10.0 ** spelling.of(data, starts), FORMS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(FORMS), pa.int32()), pa.array(total)], ["place", "v"])
+
+    lexicon.learn(ends, flat[:FORMS], flat[FORMS : 2 * FORMS], spelling, summed_up(spelled, FORMS))
+    return lexicon
+
+
 def score(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     A null text counts as empty and is one end. A null doc_id is learned from. Repeated rows
     count as often as they stand there. Without training texts all tokens are unknown and the
-    model has its first parameters. An empty table gives an empty result.
+    model has its first parameters. Columns named like a new one are replaced. An empty table
+    gives an empty result.
     """
     spark = docs.sparkSession
     names = [c for c in (docs.columns if keep is None else keep)]
-    total, rows = text_bytes(docs, text), max(1, docs.count())
-    size = max(1, int(BUCKET_BYTES * rows // max(1, total)))
-    place = F.monotonically_increasing_id()
-    run_of = F.shiftright(place, 33) * F.lit(1 << 33) + F.floor((place.bitwiseAND(F.lit((1 << 33) - 1))) / size)
-    parts = docs.select(run_of.cast("long").alias("bucket"), F.struct(*[col(c) for c in names]).alias("row"), held_out(col(doc_id)).alias("held"), col(text).cast("string").alias("text"))
-    row = parts.schema["row"].dataType
-    schema = T.StructType([T.StructField(n, t) for n, t in zip(NAMES, (T.LongType(), T.BinaryType(), T.IntegerType(), T.LongType(), row, T.BooleanType(), T.BinaryType()), strict=True)])
-    before = scratch_tables(spark)
-    parts = save(parts.mapInArrow(_buckets, schema))
-    once_read = [t for t in scratch_tables(spark) if t not in before]
-    words = parts.where("word is not null").select("bucket", "word", "number", "c")
-    counts = save(words.groupBy("word").agg(F.sum("c").alias("n")))
+    texts = docs.select(F.struct(*[col(c) for c in names], F.lit(1).alias("_")).alias("row"), held_out(col(doc_id)).alias("held"), col(text).cast("string").alias("text"))
+    counts = save(texts.where("not held").select("text").mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     release(spark)
-    known = counts.where("n > 0")
-    train, types = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = [bytes(r.word) for r in known.orderBy(F.desc("n"), "word").limit(OWN).collect()]
-    classes = Classes(top)
+    lexicon = _lexicon(counts)
+    lost = math.log10(lexicon.train + lexicon.types + 1)
+    held = spark.sparkContext.broadcast(lexicon)
 
-    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, classes.size), np.int64)
-        for batch in batches:
-            k, n = classes.of(batch.column(0).to_pylist()), batch.column(1).to_numpy()
-            sums += np.stack([np.bincount(k, n, classes.size), np.bincount(k, n == 1, classes.size)]).astype(np.int64)
-        some = np.flatnonzero(sums[0])
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(sums[0][some]), pa.array(sums[1][some])], ["k", "n", "once"])
-
-    mass, once = np.zeros(classes.size), np.zeros(classes.size)
-    for r in known.mapInArrow(shares, "k int, n long, once long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("once").alias("once")).collect():  # one row for each class
-        mass[r.k], once[r.k] = r.n, r.once
-    unseen = (once + 1) / (mass + once + 2)
-    lost = math.log10(train + types + 1)
-    held = spark.sparkContext.broadcast((mass, unseen))
-
-    def coded(docs: pa.Table, own: pa.Table) -> pa.Table:
-        mass, unseen = held.value
-        number = own.column("number").to_numpy()
-        n, k = np.zeros(len(number)), np.zeros(len(number), np.int64)
-        n[number], k[number] = own.column("n").to_numpy(), own.column("k").to_numpy()
-        base = np.log10(n + 1) - lost
-        within = np.where(n > 0, np.log10(np.maximum(n, 1) / np.maximum(mass[k], 1) * (1 - unseen[k])), np.log10(unseen[k]))
-        ids = [_unpacked(x) for x in docs.column("ids").to_pylist()]
-        out = [
-            docs.column("row").combine_chunks(), docs.column("held").combine_chunks(), pa.array([len(x) for x in ids], pa.int64()), pa.array([int((n[x] > 0).sum()) for x in ids], pa.int64()),
-            pa.array([float(base[x].sum()) for x in ids]), pa.array([float(within[x].sum()) for x in ids]), pa.array([k[x].astype("<u2").tobytes() for x in ids], pa.binary()),
-        ]
-        return pa.table(out, names=["row", "held", "n_tokens", "n_known", "base_score", "within", "classes"])
-
-    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(classes.of(batch.column(0).to_pylist()), pa.int32())], ["word", "n", "k"])
+    row = texts.schema["row"].dataType
+    kinds = (T.LongType(), T.BinaryType(), T.IntegerType(), T.DoubleType(), T.DoubleType(), T.LongType(), row, T.BooleanType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.BinaryType(), T.BinaryType())
+    schema = T.StructType([T.StructField(n, t) for n, t in zip(NAMES, kinds, strict=True)])
+    parts = save(texts.mapInArrow(_coding(held, _arrow_type(row)), schema))
+    coded = parts.where("word is null")
 
-    named = counts.mapInArrow(classed, "word binary, n long, k int")
-    counted = words.join(named, "word").select("bucket", "number", F.col("n").cast("int").alias("n") if train < 1 << 31 else "n", "k")
-    texts = parts.where("word is null").select(F.col("bucket").alias("run"), "row", "held", "ids")
-    fields = [("row", row), ("held", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("within", T.DoubleType()), ("classes", T.BinaryType())]
-    table = save(texts.groupBy("run").cogroup(counted.groupBy("bucket")).applyInArrow(coded, T.StructType([T.StructField(*f) for f in fields])))
+    words = parts.where("word is not null").select("bucket", "number", "word", "known", "unknown")
+    met = words.join(counts, "word", "left").select("bucket", "number", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") > 0, F.log10("n") + F.col("known")).otherwise(F.col("unknown")).alias("v"))
 
+    def resolved(docs: pa.Table, own: pa.Table) -> pa.Table:
+        number = own.column("number").to_numpy()
+        n, v = np.zeros(len(number), np.int64), np.zeros(len(number))
+        n[number], v[number] = own.column("n").to_numpy(), own.column("v").to_numpy()
+        base = np.log10(n + 1.0)
+        ids = [np.frombuffer(x, "<u4") for x in docs.column("tail").to_pylist()]
+        out = [docs.column("place").combine_chunks(), pa.array([int((n[x] > 0).sum()) for x in ids], pa.int64()), pa.array([float(base[x].sum()) for x in ids]), pa.array([float(v[x].sum()) for x in ids])]
+        return pa.table(out, names=["place", "k", "b", "v"])
+
+    rare = coded.where(F.octet_length("tail") > 0).select(F.col("bucket").alias("run"), "place", "tail")
+    rest = save(rare.groupBy("run").cogroup(met.groupBy("bucket")).applyInArrow(resolved, "place long, k long, b double, v double"))
     release(spark)
-    clear_scratch(spark, once_read)
 
-    model = Hmm.first((mass + 1) / (mass + 1).sum())
-    for _ in range(PASSES if train else 0):
-        model = _trained(table, model)
+    model = Hmm.first((lexicon.mass + 1) / (lexicon.mass + 1).sum())
+    for _ in range(PASSES if lexicon.train else 0):
+        model = _trained(coded.select("held", "classes"), model)
     final = spark.sparkContext.broadcast(model)
 
     def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = final.value.score(_classes_of(batch.column(5))) + batch.column(4).to_numpy()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(s)], ["row", "held", "n_tokens", "n_known_base", "score"])
-
-    ready = table.select("row", "held", "n_tokens", F.struct("n_known", "base_score").alias("n_known_base"), "within", "classes")
-    outs = T.StructType([*ready.schema.fields[:4], T.StructField("score", T.DoubleType())])
-    done = ready.mapInArrow(likelihood, outs)
-    new = {"held_out": F.col("held"), "n_tokens": F.col("n_tokens"), "n_known": F.col("n_known_base.n_known"), "train_tokens": F.lit(int(train)).cast("long"), "base_score": F.col("n_known_base.base_score"), "score": F.col("score")}
+            s = final.value.score(_classes_of(batch.column(3), final.value)) + batch.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], ["place", "rest", "score"])
+
+    ready = coded.select("place", F.struct("row", "held", "n_tokens", "n_known", "base").alias("rest"), "within", "classes")
+    scored = ready.mapInArrow(likelihood, T.StructType([*ready.schema.fields[:2], T.StructField("score", T.DoubleType())]))
+    done = scored.join(rest, "place", "left").select("rest.*", "score", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("k", "b", "v")])
+    new = {
+        "held_out": F.col("held"), "n_tokens": F.col("n_tokens"), "n_known": F.col("n_known") + F.col("k"), "train_tokens": F.lit(int(lexicon.train)).cast("long"),
+        "base_score": F.col("base") + F.col("b") - F.col("n_tokens") * F.lit(lost), "score": F.col("score") + F.col("v"),
+    }
     return done.select(*[F.col("row").getField(c).alias(c) for c in names if c not in new], *[e.alias(c) for c, e in new.items()])
 
 
+def _arrow_type(kind: T.DataType) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(kind)
+
+
 def op10_lm(spark, sf_dir: str) -> DataFrame:
     return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"])

@@ -10,11 +10,12 @@ are never drawn, so a long text costs about one draw for each shingle.
 
 Signatures are cut into bands. Texts that share a band form a bucket; each member is held
 against the bucket's pivot, and the exact overlap of the two multisets decides. Links make
-components. Where a bucket then still holds texts of different components, all texts that meet
-in such buckets are compared block by block (only pairs that share a band and lie in different
-components count), inside the tasks and without a row for a pair, so that no link that shows
-in any bucket is lost. A group of texts that are all alike, but below the threshold, therefore
-costs its square in comparisons (matrix products of SIDE x SIDE pairs).
+components. Where a bucket then still holds texts of different components, its members are
+compared slice by slice (only pairs of different components, and each pair only in the first
+band that it shares), inside the tasks and without a row for a pair, so that no link that shows
+in any bucket is lost. Buckets are never merged, so texts that meet by chance enlarge no other
+bucket. A bucket of texts that are all alike, but below the threshold, costs its square in
+comparisons; a slice is bounded by SIDE texts and SIDE_BYTES, whatever the bucket holds.
 """
 
 from __future__ import annotations
@@ -37,8 +38,11 @@ THRESHOLD = 0.8
 BLOCK = 200
 #: Orders in which buckets choose their pivots.
 ORDERS = 2
-#: Texts on each side of a block pair.
-SIDE = 512
+#: Texts, and bytes of text, on each side of a pair of slices.
+SIDE, SIDE_BYTES = 512, 2 << 20
+#: Bytes of text that are signed or expanded at once. A shingle takes about 150 bytes of arrays
+#: while it is signed, so a worker stays below 40 MB of them but for a longer single text.
+SIGN_BYTES = 512 << 10
 
 
 def multisets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,16 +94,19 @@ def _draw(out: np.ndarray, doc: np.ndarray, shingle: np.ndarray, weight: np.ndar
     low[level == 1] = 1
     doc, weight = doc[owner], weight[owner]
     seed = mixed(shingle[owner] + (level.astype(np.uint64) + np.uint64(1)) * MIX_B)
-    time = np.zeros(len(owner))
+    del owner, level, shingle
+    live = [doc, weight, seed, np.zeros(len(doc)), latest[doc], low, length]
+    del doc, weight, seed, low, length
     step = np.zeros(1, np.uint64)
-    end = latest[doc]
-    while len(doc):
+    while len(live[0]):
         step = step + np.uint64(1)
-        r = mixed(seed + step * GOLD)
-        time = time - np.log(((r >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / (SIZE * length)
-        on = time <= end
-        doc, weight, seed, time, end, low, length, r = (x[on] for x in (doc, weight, seed, time, end, low, length, r))
-        r = mixed(r ^ MIX_A)
+        r = mixed(live[2] + step * GOLD)
+        live[3] = live[3] - np.log(((r >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / (SIZE * live[6])
+        on = np.flatnonzero(live[3] <= live[4])
+        for k in range(len(live)):  # one by one, so that only one array is held twice
+            live[k] = live[k][on]
+        doc, weight, _, time, _, low, length = live
+        r = mixed(r[on] ^ MIX_A)
         unit = low + ((r >> np.uint64(40)).astype(np.int64) * length >> 24) + 1
         good = unit <= weight
         np.minimum.at(out.reshape(-1), doc[good] * SIZE + (r[good] & np.uint64(SIZE - 1)).astype(np.int64), time[good])
@@ -122,7 +129,7 @@ def _sign(texts: list[bytes]) -> list:
     sig = signatures(*multisets(*_joined(texts)), len(texts))
     some = np.isfinite(sig[:, 0])
     keys = bands(sig)
-    return [[k if s else None for k, s in zip(keys, some.tolist(), strict=True)]]
+    return [pa.array([k if s else None for k, s in zip(keys, some.tolist(), strict=True)], pa.list_(pa.int64()))]
 
 
 def _elements(texts: list[bytes]) -> list[np.ndarray]:
@@ -148,12 +155,12 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         b, a = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         data, offsets = buffers(batch.column(2))
-        raw = data.tobytes()
+        raw = memoryview(data)
         left, right = [], []
         lo = 0
         while lo < len(a):
-            hi = max(lo + 1, min(len(a), int(np.searchsorted(offsets, offsets[lo] + (4 << 20), "right")) - 1))
-            for i, e in zip(range(lo, hi), _elements([raw[offsets[i] : offsets[i + 1]] for i in range(lo, hi)]), strict=True):
+            hi = max(lo + 1, min(len(a), int(np.searchsorted(offsets, offsets[lo] + SIGN_BYTES, "right")) - 1))
+            for i, e in zip(range(lo, hi), _elements([raw[offsets[i] : offsets[i + 1]].tobytes() for i in range(lo, hi)]), strict=True):
                 if a[i] == b[i]:
                     center, against = b[i], e
                 elif center == b[i] and overlap(against, e) >= THRESHOLD:
@@ -183,28 +190,25 @@ def _pivots(shared: DataFrame) -> DataFrame:
 
 
 def _open(shared: DataFrame, labels: DataFrame) -> DataFrame | None:
-    """(a, c, s, k) of texts in buckets that hold several components c: s joins all that meet in
-    such buckets, k is the number of blocks of s. None if there is no such bucket."""
+    """(key, a, c) of the members of buckets that hold several components, or None."""
     labelled = shared.join(labels, F.col("a") == F.col("node"), "left").select("key", "a", F.coalesce("component", "a").alias("c"))
-    keys = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("a").alias("first")).where("lo <> hi").select("key", "first")
+    keys = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     members = save(labelled.join(keys, "key"))
-    if members.isEmpty():
-        return None
-    groups = save(components(members.select("a", F.col("first").alias("b")).where("a <> b")))
-    docs = members.select("a", "c").distinct().join(groups.select(F.col("node").alias("a"), F.col("component").alias("s")), "a")
-    sizes = docs.groupBy("s").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("k"))
-    return save(docs.join(sizes, "s").select("a", "c", "s", "k"))
+    return None if members.isEmpty() else members
 
 
-def _blocks(docs: DataFrame, bands_of: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links across components, found block against block; a block pair sends on only as many
-    links as join its components."""
+def _blocks(members: DataFrame, bands_of: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links across the components of a bucket, found slice against slice; a pair of slices sends
+    on only as many links as join its components."""
+    sized = members.join(texts.select(F.col("nid").alias("a"), F.octet_length("text").cast("long").alias("size")), "a")
+    slices = sized.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / SIDE), F.ceil(F.sum("size") / SIDE_BYTES)).cast("int").alias("k"))
     own = F.pmod(F.xxhash64("a"), F.col("k")).cast("int")
-    dealt = docs.select("a", "c", "s", own.alias("o"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("x"))
-    dealt = dealt.select("a", "c", "s", "o", F.least("o", "x").alias("i"), F.greatest("o", "x").alias("j"))
-    held = docs.select("a").join(texts, F.col("a") == texts.nid).join(bands_of, "nid").select(F.col("nid").alias("id"), "text", "bands")
-    rows = dealt.join(save(held), F.col("a") == F.col("id")).select("s", "i", "j", "o", "a", "c", "bands", "text")
-    return save(rows.groupBy("s", "i", "j").applyInArrow(_compared, "a long, b long"))
+    dealt = members.join(slices, "key").select("key", "a", "c", own.alias("o"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("x"))
+    dealt = dealt.select("key", "a", "c", "o", F.least("o", "x").alias("i"), F.greatest("o", "x").alias("j"))
+    held = members.select(F.col("a").alias("nid")).distinct().join(texts, "nid").join(bands_of, "nid").select(F.col("nid").alias("id"), "text", "bands")
+    rows = dealt.join(save(held), F.col("a") == F.col("id"))
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "o", "a", "c", "bands", "text")
+    return save(rows.mapInArrow(_met, "a long, b long"))
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -229,36 +233,73 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _compared(table: pa.Table) -> pa.Table:
-    ids, c, o, i, j = (table.column(x).to_numpy() for x in ("a", "c", "o", "i", "j"))
-    keys = np.stack(table.column("bands").to_pylist())
-    sets = _elements([t.encode() for t in table.column("text").to_pylist()])
-    left = np.flatnonzero(o == i[0])
-    right = np.flatnonzero(o == j[0])
-    meet = np.zeros((len(left), len(right)), bool)
-    for b in range(keys.shape[1]):
-        meet |= keys[left, b][:, None] == keys[right, b][None, :]
-    meet &= c[left][:, None] != c[right][None, :]
-    a_out, b_out = [], []
-    if meet.any():
-        common = overlaps([sets[x] for x in left], [sets[x] for x in right])
-        size = np.array([len(x) for x in sets])
-        good = meet & (common >= THRESHOLD * (size[left][:, None] + size[right][None, :] - common) - 1e-3)
-        root: dict[int, int] = {}
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come ordered by pair of slices; each pair is held until its last row, and small ones
+    are expanded together."""
+    whole: list[list[tuple]] = []  # complete pairs of slices that wait for their comparison
+    now, rows, size = None, [], 0
 
-        def find(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                root[x] = x = root[root[x]]
-            return x
+    def compared() -> pa.RecordBatch:
+        sets = _elements([r[-1] for group in whole for r in group])
+        links, lo = [], 0
+        for group in whole:
+            links += _links(group, sets[lo : lo + len(group)])
+            lo += len(group)
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
-        for p, q in np.argwhere(good).tolist():
-            x, y = left[p], right[q]
-            u, v = find(int(c[x])), find(int(c[y]))
-            if u != v and overlap(sets[x], sets[y]) >= THRESHOLD:
-                root[u] = v
-                a_out.append(int(ids[x]))
-                b_out.append(int(ids[y]))
-    return pa.table([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+    for batch in batches:
+        key, i, j, o, a, c = (batch.column(x).to_numpy().tolist() for x in range(6))
+        keys = batch.column(6).flatten().to_numpy().reshape(len(key), -1)
+        data, offsets = buffers(batch.column(7))
+        view = memoryview(data)
+        for x in range(len(key)):
+            if (key[x], i[x], j[x]) != now:
+                if rows:
+                    whole.append(rows)
+                if size > SIGN_BYTES:
+                    yield compared()
+                    whole, size = [], 0
+                now, rows = (key[x], i[x], j[x]), []
+            text = view[offsets[x] : offsets[x + 1]].tobytes()
+            rows.append((key[x], o[x] == i[x], o[x] == j[x], a[x], c[x], keys[x], text))
+            size += len(text)
+    if rows:
+        whole.append(rows)
+    if whole:
+        yield compared()
+
+
+def _links(rows: list[tuple], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between the two slices of ``rows`` that join components, each pair judged only in
+    the first band that it shares."""
+    c, keys, size = np.array([r[4] for r in rows]), np.stack([r[5] for r in rows]), np.array([len(x) for x in sets])
+    left, right = np.flatnonzero([r[1] for r in rows]), np.flatnonzero([r[2] for r in rows])
+    if not len(left) or not len(right):
+        return []
+    band = int(np.flatnonzero(keys[0] == rows[0][0])[0])
+    meet = c[left][:, None] != c[right][None, :]
+    for b in range(band):
+        meet &= keys[left, b][:, None] != keys[right, b][None, :]
+    small, large = np.minimum(size[left][:, None], size[right][None, :]), np.maximum(size[left][:, None], size[right][None, :])
+    meet &= small >= THRESHOLD * large - 1e-3
+    if meet.sum() > 64:
+        common = overlaps([sets[x] for x in left], [sets[x] for x in right])
+        meet &= common >= THRESHOLD * (size[left][:, None] + size[right][None, :] - common) - 1e-3
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for p, q in np.argwhere(meet).tolist():
+        x, y = left[p], right[q]
+        u, v = find(int(c[x])), find(int(c[y]))
+        if u != v and overlap(sets[x], sets[y]) >= THRESHOLD:
+            root[u] = v
+            out.append((rows[x][3], rows[y][3]))
+    return out
 
 
 def classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -271,7 +312,7 @@ def classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> D
     """
     content = F.coalesce(col(text).cast("string"), F.lit(""))
     rows = docs.select(col(doc_id).alias("doc_id"), content.alias("text"), F.unhex(F.md5(content)).alias("node"))
-    signed = map_texts(rows, "text", "bands array<long>", lambda: _sign, ["doc_id", "node"])
+    signed = map_texts(rows, "text", "bands array<long>", lambda: _sign, ["doc_id", "node"], SIGN_BYTES)
     signed = save(signed.withColumn("uid", F.monotonically_increasing_id()))
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("uid").alias("u"))
     nodes = signed.groupBy("node").agg(F.min(order).alias("least"), F.first("bands").alias("bands"))
@@ -287,9 +328,9 @@ def classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> D
 
     links = save(verify(save(_pivots(shared)), texts))
     labels = save(components(links))
-    open_docs = _open(shared, labels)
-    if open_docs is not None:
-        more = _blocks(open_docs, nodes.select("nid", "bands"), texts)
+    members = _open(shared, labels)
+    if members is not None:
+        more = _blocks(members, nodes.select("nid", "bands"), texts)
         labels = save(components(links.unionByName(more)))
     grouped = nodes.join(labels, F.col("nid") == labels.node, "left").select(nodes.node, "least", F.coalesce("component", "nid").alias("c"))
     least = grouped.groupBy("c").agg(F.min("least").alias("first"))
