@@ -4,10 +4,11 @@ Tokens are runs of lower-case letters, of capitals (their shape only), of digits
 repeated symbol; each falls into one of SLOTS slots. Every slot has a sparse random index
 vector of DIM places with entries of 1 and -1, and its context vector is the sum of the index
 vectors of all tokens up to REACH places away from it, over the whole corpus. A document's
-features are the mean of its tokens' context vectors (logarithmic, of unit length each) and
-some shape figures of its own. A network of one hidden layer in numpy learns the labels on
-the driver, from at most ``sample`` labelled rows (those first in order of a hash of their id);
-a temperature, fitted on rows set aside from them, calibrates its probabilities.
+features are the means of its tokens' index vectors (what words it has) and context vectors (in
+what company they stand; logarithmic, of unit length each), and nothing else. A network of one
+hidden layer in numpy learns the labels on the driver, from at most ``sample`` labelled rows
+(those first in order of a hash of their id); a temperature, fitted on rows set aside from them,
+calibrates its probabilities.
 
 Neither ids, languages, sources nor labels are inputs of a score.
 """
@@ -24,17 +25,17 @@ from pyspark.sql import functions as F
 
 from .common import GOLD, buffers, col, filter_texts, map_texts, mixed, pieces, span_hashes
 
-SLOTS, DIM, REACH, PICKS = 4096, 32, 2, 2
+#: Words share a slot where their hashes meet; index and context vectors are of slots.
+SLOTS, DIM, REACH, PICKS = 16384, 48, 2, 2
 HIDDEN, EPOCHS = 24, 400
 SAMPLE = 20_000
 FOLDS, THRESHOLD = 5, 0.3
 
 _KIND = np.array([1 if 97 <= c <= 122 or c >= 128 else 2 if 65 <= c <= 90 else 3 if 48 <= c <= 57 else 0 if c == 32 or 9 <= c <= 13 else c + 10 for c in range(256)], np.int16)
-_SHAPES = 8
 
 
-def slots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slot and kind of each token, and the number of tokens before each text and at the end."""
+def slots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slot of each token, and the number of tokens before each text and at the end."""
     kind = _KIND[data]
     begins = np.zeros(len(data) + 1, bool)
     begins[offsets] = True
@@ -48,7 +49,7 @@ def slots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     h = np.empty(len(starts), np.uint64)
     h[~shape] = span_hashes(data, starts[~shape], size[~shape])
     h[shape] = mixed(k[shape].astype(np.uint64) * GOLD + np.minimum(size[shape], 4).astype(np.uint64))
-    return (h % np.uint64(SLOTS)).astype(np.int64), k, np.searchsorted(starts, offsets)
+    return (h % np.uint64(SLOTS)).astype(np.int64), np.searchsorted(starts, offsets)
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +65,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = buffers(batch.column(0))
         for lo, hi in pieces(offsets):
             own = offsets[lo : hi + 1]
-            slot, _, bounds = slots(data[own[0] : own[-1]], own - own[0])
+            slot, bounds = slots(data[own[0] : own[-1]], own - own[0])
             doc = np.repeat(np.arange(hi - lo), np.diff(bounds))
             for d in range(1, REACH + 1):
                 near = doc[d:] == doc[:-d]
@@ -73,7 +74,9 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         total += np.bincount(a * DIM + place[b, p], sign[b, p], SLOTS * DIM)
     rows = total.reshape(SLOTS, DIM)
     used = np.flatnonzero(np.abs(rows).sum(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(list(rows[used].astype(np.float64)), pa.list_(pa.float64()))], ["slot", "v"])
+    for lo in range(0, len(used), 2048):
+        own = used[lo : lo + 2048]
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.FixedSizeListArray.from_arrays(rows[own].ravel(), DIM).cast(pa.list_(pa.float64()))], ["slot", "v"])
 
 
 def context_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -88,26 +91,18 @@ def context_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def features(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
+    """Mean index vector and mean context vector of each text; zeros without tokens."""
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
-    slot, kind, bounds = slots(data, offsets)
+    slot, bounds = slots(data, offsets)
     n = np.diff(bounds)
-    out = np.zeros((len(texts), DIM + _SHAPES))
+    out = np.zeros((len(texts), 2 * DIM))
     doc = np.repeat(np.arange(len(n)), n)
-    some = n > 0
+    place, sign = index_vectors()
+    for p in range(PICKS):
+        out[:, :DIM] += np.bincount(doc * DIM + place[slot, p], sign[slot, p], len(n) * DIM).reshape(-1, DIM)
     for j in range(DIM):
-        out[:, j] = np.bincount(doc, vectors[slot, j], len(n))
-    symbol = kind > 3
-    counts = [np.bincount(doc[m], minlength=len(n)) for m in (kind == 1, kind == 2, kind == 3, symbol, kind == 10 + 124)]
-    for j, c in enumerate(counts):
-        out[:, DIM + j] = c
-    out[some] /= n[some, None]
-    order = np.lexsort((slot, doc))
-    new = np.ones(len(slot), bool)
-    new[1:] = (slot[order][1:] != slot[order][:-1]) | (doc[order][1:] != doc[order][:-1])
-    out[some, DIM + 5] = (np.bincount(doc[order][new], minlength=len(n)) / np.maximum(n, 1))[some]
-    out[:, DIM + 6] = np.log1p(n)
-    out[:, DIM + 7] = some
-    return out
+        out[:, DIM + j] = np.bincount(doc, vectors[slot, j], len(n))
+    return out / np.maximum(n, 1)[:, None]
 
 
 class Network:
@@ -143,7 +138,7 @@ class Network:
         return np.tanh(self._scaled(x) @ self.p[0] + self.p[1]) @ self.p[2] + self.p[3]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.logit(x) / self.temperature)
+        return np.round(_sigmoid(self.logit(x) / self.temperature), 9)  # the last digits depend on the rows beside it
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -171,13 +166,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", sample: int =
                 x = features([raw[offsets[i] : offsets[i + 1]] for i in range(lo, hi)], held.value)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(list(x), pa.list_(pa.float64()))], ["id", "q", "x"])
 
-    learned = rows.select("_id", "text", F.col("_q").cast("int")).mapInArrow(measured, "id long, q int, x array<double>")
+    learned = rows.select(F.col("_id").cast("string"), "text", F.col("_q").cast("int")).mapInArrow(measured, "id string, q int, x array<double>")
     got = learned.groupBy("id").agg(F.max("q").alias("q"), F.min("x").alias("x")).collect()  # at most ``sample`` rows
     got.sort(key=lambda r: r.id)
     if not got:
         return vectors, None
     x, y = np.array([r.x for r in got]), np.array([r.q for r in got])
-    aside = np.array([zlib.crc32(str(r.id).encode()) % FOLDS == 1 for r in got])
+    aside = np.array([zlib.crc32(r.id.encode()) % FOLDS == 1 for r in got])
     return vectors, Network(x, y, aside)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .bpe import op6_bpe
 from .classifier import op8_quality
-from .decontaminate import op2_decontaminate
+from .decontaminate import OP2_SQL, op2_decontaminate
 from .licences import OP1_SQL, op1_licences
 from .linededup import OP4_SQL, op4_linededup, op4_wholelines
 from .lm import op10_lm
@@ -29,6 +29,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_licences": OP1_SQL,
+    "op2_decontaminate": OP2_SQL,
     "op4_linededup": OP4_SQL,
     "op7_rules": OP7_SQL,
     "op9_urls": OP9_SQL,

@@ -37,8 +37,7 @@ def _stage(f: Callable) -> Callable:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts. It learns from the labels of the documents here."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = classifier.score(docs.withColumn("_row", F.struct(*docs.columns)), labels, keep=["_row"])
-    return scored.where("predicted = 1").select("_row.*")
+    return classifier.accepted(docs, labels)
 
 
 @_stage
@@ -59,8 +58,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.scan(docs.withColumn("_row", F.struct(*docs.columns)), items, keep=["_row"])
-    return found.where("n_hit = 0").select("_row.*")
+    return decontaminate.clean(docs, items)
 
 
 @_stage

@@ -102,6 +102,8 @@ def test_decontamination_equals_brute_force(spark, docs, block):
     for r in rows:
         assert (r.n_words, r.n_hit, list(r["items"])) == brute_hits(r.text, ITEMS), r.text
     assert any(r.n_hit for r in rows)
+    left = decontaminate.clean(docs, items, table_bytes=block)
+    assert left.columns == docs.columns and left.count() == sum(not r.n_hit for r in rows)
 
 
 def test_decontamination_digest_and_empty_sides(spark, docs, empty):
@@ -118,8 +120,9 @@ def test_wu_manber_finds_overlaps():
     patterns = [b"aba", b"a", b"abab" * 20, b"ba"]
     text = b"abab" * 30
     want = sorted((i, p) for p in patterns for i in range(len(text)) if text.startswith(p, i))
-    assert sorted(decontaminate.WuManber(patterns).find(text)) == want
-    assert decontaminate.WuManber([]).find(text) == []
+    at, which = decontaminate.WuManber.of(patterns).find(text)
+    assert sorted(zip(at.tolist(), [patterns[i] for i in which], strict=True)) == want
+    assert not len(decontaminate.WuManber.of([]).find(text)[0])
 
 
 # ---- 3 near duplicates
