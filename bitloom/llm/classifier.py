@@ -1,7 +1,8 @@
 """Quality classifier: random-indexing vectors, pooled, and a two-layer network.
 
 Tokens are runs of lower-case letters, of capitals (their shape only), of digits, and of one
-repeated symbol; each falls into one of SLOTS slots. Every slot has a sparse random index
+repeated symbol; a run of letters that stands up to NEAR tokens before already is the token "again".
+Each token falls into one of SLOTS slots. Every slot has a sparse random index
 vector of DIM places with entries of 1 and -1, and its context vector is the sum of the index
 vectors of all tokens up to REACH places away from it, over the whole corpus. A document's
 features are the means of its tokens' index vectors (what words it has) and context vectors (in
@@ -23,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLD, buffers, col, filter_texts, map_texts, mixed, pieces, span_hashes
+from .common import GOLD, MIX_A, buffers, col, filter_texts, map_texts, mixed, pieces, span_hashes
 
 #: Words share a slot where their hashes meet; index and context vectors are of slots.
 SLOTS, DIM, REACH, PICKS = 16384, 48, 2, 2
+NEAR = 3
 HIDDEN, EPOCHS = 24, 400
 SAMPLE = 20_000
 FOLDS, THRESHOLD = 5, 0.3
@@ -49,7 +51,13 @@ def slots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     h = np.empty(len(starts), np.uint64)
     h[~shape] = span_hashes(data, starts[~shape], size[~shape])
     h[shape] = mixed(k[shape].astype(np.uint64) * GOLD + np.minimum(size[shape], 4).astype(np.uint64))
-    return (h % np.uint64(SLOTS)).astype(np.int64), np.searchsorted(starts, offsets)
+    bounds = np.searchsorted(starts, offsets)
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
+    again = np.zeros(len(h), bool)
+    for d in range(1, NEAR + 1):
+        again[d:] |= (h[d:] == h[:-d]) & (doc[d:] == doc[:-d]) & ~shape[d:]
+    h[again] = MIX_A
+    return (h % np.uint64(SLOTS)).astype(np.int64), bounds
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
