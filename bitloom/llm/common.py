@@ -20,8 +20,12 @@ _scratch: dict[str, list[str]] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The shared folder of ``spark.checkpoint.dir``. Where it is unset, a local session (as in
+    tests) gets a temporary folder, and a cluster an error."""
+    small_batches(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="bitloom-")
         spark.sparkContext.setCheckpointDir(root)
@@ -96,6 +100,18 @@ def pieces(offsets: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int,
         start = end
 
 
+#: Bytes in one Arrow batch: a task holds a few of them, in the JVM and in its worker.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on Arrow batches to BATCH_BYTES, if it is above."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key)).lower().removesuffix("b")
+    if not now.lstrip("-").isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def _slices(column: pa.Array, limit: int) -> Iterator[tuple[int, int, list[bytes]]]:
     """Row ranges of a string column and their texts; only one range's texts are copied at a time."""
     data, offsets = buffers(column)
@@ -108,6 +124,7 @@ def filter_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list[byt
     """The rows of ``df`` whose text a function accepts (it returns a boolean for each text; a
     null counts as empty), all columns as they are. Each text passes to Python once."""
     place = df.columns.index(text)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
@@ -134,6 +151,7 @@ def map_texts(
     has the name of a new column, the new one takes its place. The text itself travels once,
     kept or not. ``limit`` bounds the bytes of text that one call holds.
     """
+    small_batches(df.sparkSession)
     keep = list(df.columns) if keep is None else keep
     ddl = [f.strip().split(None, 1) for f in fields.split(",")]
     names = [n for n, _ in ddl]

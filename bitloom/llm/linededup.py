@@ -47,33 +47,31 @@ def masked(line: Column) -> Column:
 
 
 def _line(form: Column, edges: bool = False) -> Column:
-    """Hash, leaf and token count of a form, and the hashes of its first and last EDGE tokens;
-    ``form`` must be a variable or a column."""
+    """Hash, leaf, token count and, where it can share a leaf, text of a form, and the hashes of
+    its first and last EDGE tokens; ``form`` must be a variable or a column."""
     n = F.when(form == "", 0).otherwise(F.octet_length(form) - F.octet_length(F.replace(form, F.lit(" "), F.lit(""))) + 1)
     ends = [F.xxhash64(F.substring_index(form, " ", k)).alias(c) for c, k in (("first", EDGE), ("last", -EDGE))] if edges else []
-    return F.struct(F.xxhash64(form).alias("h"), F.xxhash64(n, F.substring_index(form, " ", DEPTH)).alias("leaf"), n.alias("n"), *ends)
+    return F.struct(F.xxhash64(form).alias("h"), F.xxhash64(n, F.substring_index(form, " ", DEPTH)).alias("leaf"), n.alias("n"), F.when(n >= MIN_TOKENS, form).alias("form"), *ends)
 
 
 def _lines(docs: DataFrame, text: str, whole: bool) -> DataFrame:
-    """A row for each line: node (digest of its text), pos, h, leaf, n, its neighbours' hash and,
-    for the whole job, those of its edges."""
+    """A row for each line: node (digest of its text), pos, h, leaf, n, form (as _line has it), its
+    neighbours' hash and, for the whole job, those of its edges."""
     content = F.coalesce(col(text).cast("string"), F.lit(""))
     rows = docs.select(F.unhex(F.md5(content)).alias("node"), F.transform(F.transform(F.split(content, "\n"), masked), lambda x: _line(x, whole)).alias("ls"))
 
     def near(x: Column, i: Column) -> Column:
         before = F.when(i > 0, F.get("ls", i - 1)["h"]).otherwise(F.lit(0))
-        return F.struct(i.alias("pos"), x["h"].alias("h"), x["leaf"].alias("leaf"), x["n"].alias("n"), F.xxhash64(before, F.coalesce(F.get("ls", i + 1)["h"], F.lit(0))).alias("near"), *[x[c].alias(c) for c in ("first", "last") if whole])
+        return F.struct(i.alias("pos"), x["h"].alias("h"), x["leaf"].alias("leaf"), x["n"].alias("n"), x["form"].alias("form"), F.xxhash64(before, F.coalesce(F.get("ls", i + 1)["h"], F.lit(0))).alias("near"), *[x[c].alias(c) for c in ("first", "last") if whole])
 
     return rows.select("node", F.explode(F.transform("ls", near)).alias("l")).select("node", "l.*")
 
 
-def _generalised(docs: DataFrame, lines: DataFrame, text: str, whole: bool) -> DataFrame:
+def _generalised(lines: DataFrame, whole: bool) -> DataFrame:
     """(h, template) of the lines that agree with the common form of their leaf, or of a part."""
     leaves = lines.where(F.col("n") >= MIN_TOKENS).groupBy("leaf").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("leaf")
     leaves = save(leaves)
-    content = F.coalesce(col(text).cast("string"), F.lit(""))
-    own = docs.select(F.explode(F.transform(F.split(content, "\n"), masked)).alias("form")).select("form", _line(F.col("form")).alias("l"))
-    own = own.select("form", "l.h", "l.leaf", "l.n").where(F.col("n") >= MIN_TOKENS)
+    own = lines.where(F.col("n") >= MIN_TOKENS).select("form", "h", "leaf", "n")
     own = own.join(F.broadcast(leaves) if leaves.count() <= LEAVES else leaves, "leaf", "left_semi")
     own = save(own.groupBy("h", "leaf", "n").agg(F.first("form").alias("form")))
     own = own.withColumn("g", F.xxhash64(F.lit("leaf"), "leaf"))
@@ -136,7 +134,7 @@ def _recurring(lines: DataFrame, named: DataFrame, whole: bool) -> DataFrame:
 def flags(docs: DataFrame, *, text: str = "text", whole: bool = True) -> DataFrame:
     """(node, drop): for each different text with a line to drop, whether each line goes."""
     lines = save(_lines(docs, text, whole))
-    general = _generalised(docs, lines, text, whole)
+    general = _generalised(lines, whole)
     named = save(lines.join(general, "h", "left").select("node", "pos", "near", "n", F.coalesce("template", "h").alias("template")))
     least = 1 if whole else MIN_TOKENS
     recurring = _recurring(lines, named.where(F.col("n") >= least), whole).withColumn("recurs", F.lit(True))
