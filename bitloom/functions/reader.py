@@ -9,10 +9,12 @@ from collections.abc import Callable
 from typing import Any
 
 from ..plans import syntax as S
-from ..plans.layout import ENCODINGS, Layout, variant_name
-from .values import CellError, Compiler, Scope, number, true
+from ..plans.layout import ENCODINGS, Layout, int_type, variant_name
+from .values import CellError, Compiler, Scope, number, true, wrap
 
 MAX_DEPTH, MAX_ELEMENTS = 256, 10_000_000
+#: What the Spark types of integers hold, from minus this on and below it.
+SHOWN = {"byte": 1 << 7, "short": 1 << 15, "integer": 1 << 31, "long": 1 << 63}
 
 
 class Variant:
@@ -141,10 +143,13 @@ class Reader:
         name, hidden = m.name, m.hidden
         if m.derived is not None:
             value, kind = self.expr(m.derived, args), m.type.kind
+            limit = None if hidden or kind not in S.INTS or kind == "u64" else SHOWN[int_type(kind).typeName()]
 
             def derive(c: Context, s: Scope) -> None:
                 v = value(c, s, {})
                 s.vals[name] = v
+                if limit is not None and isinstance(v, (int, float)) and not -limit <= v < limit:
+                    raise CellError("PE100", f"{name} does not fit {kind}", c.pos)
                 if not hidden:
                     s.out[name] = bool(v) if kind == "bool" and isinstance(v, int) else float(v) if kind in S.FLOATS and isinstance(v, int) else v
 
@@ -168,7 +173,7 @@ class Reader:
             if magic is not None:
                 want = magic(c, s, {})
                 if (v if isinstance(v, (str, bytes)) else number(v)) != want:
-                    raise CellError("PE100", f"{name} is {v!r}, not {want!r}", start)
+                    raise CellError("PE100", f"{name} has another value", start)
             if bits is not None:
                 s.vals.update(v.vals)
             if not hidden:
@@ -304,7 +309,7 @@ class Reader:
             out = Scope(c.pos, {})
             word = base(c, s)[0] & (1 << full) - 1
             for name, width, one in decl.fields:
-                v = word & (1 << width) - 1
+                v = wrap(word & (1 << width) - 1)
                 word >>= width
                 out.vals[name], out.out[name] = v, bool(v) if one else v
             return out, out

@@ -2,8 +2,8 @@
 
 Magic values are written from the layout, derived fields are not on the wire, gaps are zero.
 A counted array must have as many elements as its count says; a bits struct is put together
-from its bits; pointers point to a region behind everything else. The cell is written twice,
-so that expressions over its size see the final one.
+from its bits; pointers point to a region behind everything else. If a layout has expressions over
+the cell's size, the cell is written twice, so that they see the final one.
 """
 
 from __future__ import annotations
@@ -39,15 +39,31 @@ class _Out:
         return len(value) if isinstance(value, bytes) else len(str(value).encode())
 
 
+def _asks_size(x: Any) -> bool:
+    """Whether a layout has an expression over the cell's size."""
+    seen: set[int] = set()
+    todo = [x]
+    while todo:
+        at = todo.pop()
+        if id(at) in seen or isinstance(at, (str, bytes, int, float, type(None))):
+            continue
+        seen.add(id(at))
+        if isinstance(at, S.Builtin) and at.name in ("@input_size", "@remaining"):
+            return True
+        todo += at.values() if isinstance(at, dict) else at if isinstance(at, (list, tuple, set, frozenset)) else vars(at).values() if hasattr(at, "__dict__") else [getattr(at, k, None) for k in getattr(at, "__slots__", ())]
+    return False
+
+
 class Writer:
     def __init__(self, layout: Layout):
         self.l, self.expr = layout, Compiler(layout)
+        self.rounds = 2 if _asks_size(layout) else 1
         self.cache: dict[tuple[int, frozenset], Any] = {}
 
     def write(self, value: dict | str, entry: str | None = None, params: dict | None = None) -> bytes:
         data = json.loads(value) if isinstance(value, str) else value
         size = 0
-        for _ in range(2):
+        for _ in range(self.rounds):
             out = _Out(params or {}, size)
             self.struct(out, self.l.entry(entry), data or {}, {})
             while out.later:
@@ -136,7 +152,7 @@ class Writer:
         if kind in ("string", "fixed_string", "bytes"):
             raw = (base64.b64decode(v) if isinstance(v, str) else bytes(v or b"")) if kind == "bytes" else str(v or "").encode(encoding)
             n = int(number(self.value(t.size, out, s)))
-            if len(raw) > n and not (kind == "bytes" and out.size == 0):
+            if len(raw) > n and not (kind == "bytes" and out.size == 0 and self.rounds > 1):
                 raise CellError("PR100", f"{name} takes {n} bytes, not {len(raw)}", out.pos)
             out.put(raw[: max(0, n)].ljust(max(0, n), b"\0"))
             return raw if kind == "bytes" else v or ""

@@ -19,10 +19,10 @@ from ..functions.reader import Reader, Variant, plain, to_json
 from ..functions.typed import typed, untyped
 from ..functions.values import CellError, Scope
 from ..functions.writer import Writer
-from ..plans.columns import ColumnPlan, NotLowered
+from ..plans.columns import ERROR, ColumnPlan, NotLowered
 from ..plans.layout import Layout, compile_script, struct_schema
+from ..plans.produced import BytesPlan
 
-ERROR = T.StructType([T.StructField("code", T.StringType()), T.StructField("message", T.StringType()), T.StructField("offset", T.LongType())])
 MODES = ("PERMISSIVE", "DROPMALFORMED", "FAILFAST")
 
 _layouts: dict[tuple, Layout] = {}
@@ -46,20 +46,23 @@ def decode_column(
 ) -> Column:
     """A struct column: value, error (code, message, offset; null if none), consumed.
 
-    A null cell gives a null value and no error. ``output`` is struct or json; ``fields`` keeps
-    only those members of the entry. ``lowering`` is auto, columns or reader.
+    A null cell gives a null value and no error. ``output`` is struct, json or variant; ``fields``
+    keeps only those members of the entry. ``lowering`` is auto, columns or reader.
     """
+    if output == "variant":
+        got = decode_column(cell, script, entry=entry, params=params, output="json", strict=strict, modules=modules, max_elements=max_elements)
+        return F.struct(F.try_parse_json(got["value"]).alias("value"), got["error"].alias("error"), got["consumed"].alias("consumed"))
     layout = _layout(script, modules)
     top = layout.entry(entry)
     if output not in ("struct", "json"):
-        raise ValueError(f"output is struct or json, not {output!r}")
+        raise ValueError(f"output is struct, json or variant, not {output!r}")
     if lowering != "reader" and output == "struct" and not strict and max_elements is None:
         try:
-            value, ok, end = ColumnPlan(layout, cell, params).build(entry, enum_names)
+            value, error, end = ColumnPlan(layout, cell, params).build(entry, enum_names)
             if fields is not None:
                 value = F.struct(*[value.getField(f.name).alias(f.name) for f in _pruned(struct_schema(layout, top, enum_names), fields)])
-            wrong = F.struct(F.lit("PE100").alias("code"), F.lit("the cell does not follow the layout").alias("message"), F.lit(0).cast("long").alias("offset"))
-            return F.struct(F.when(ok, value).alias("value"), F.when(cell.isNotNull() & ~ok, wrong).alias("error"), F.when(ok, end).alias("consumed"))
+            there = cell.isNotNull() & error.isNull()
+            return F.struct(F.when(there, value).alias("value"), F.when(cell.isNotNull(), error).alias("error"), F.when(there, end).alias("consumed"))
         except NotLowered:
             if lowering == "columns":
                 raise
@@ -85,7 +88,7 @@ def decode_column(
                 scope, consumed = reader.read(x.as_py(), entry, params)
                 out.append({"value": to_json(scope) if output == "json" else typed(layout, top, scope, enum_names, wanted), "error": None, "consumed": consumed})
             except CellError as e:
-                out.append({"value": None, "error": {"code": e.code, "message": e.message, "offset": e.offset}, "consumed": None})
+                out.append({"value": None, "error": {"code": e.code, "message": e.message, "offset": max(-1 << 63, min(e.offset, (1 << 63) - 1))}, "consumed": None})
             except RecursionError:
                 out.append({"value": None, "error": {"code": "PE100", "message": "nested too deep", "offset": 0}, "consumed": None})
         return pa.array(out, wire)
@@ -188,11 +191,47 @@ def encode_column(value: Column, script: str, *, entry: str | None = None, param
     return encode(value)
 
 
-def produce(df: DataFrame, column: str, script: str, *, into: str = "bytes", **options) -> DataFrame:
-    """``df`` with the bytes that ``column`` (a struct or JSON text) makes under the layout."""
+def produce(df: DataFrame, column: str, script: str, *, into: str = "bytes", lowering: str = "auto", **options) -> DataFrame:
+    """``df`` with the bytes that ``column`` (a struct or JSON text) makes under the layout.
+
+    A layout whose places don't depend on the value becomes Catalyst columns; any other, and JSON
+    text, goes through the writer. ``lowering`` is auto, columns or writer."""
+    kind = df.schema[column].dataType
+    if lowering != "writer" and isinstance(kind, T.StructType) and not options.get("fail") and not options.get("params"):
+        try:
+            layout = _layout(script, options.get("modules"))
+            return df.withColumn(into, BytesPlan(layout).build(F.col(column), kind, options.get("entry")))
+        except NotLowered:
+            if lowering == "columns":
+                raise
+    elif lowering == "columns":
+        raise NotLowered("JSON text, parameters or fail")
     return df.withColumn(into, encode_column(F.col(column), script, **options))
 
 
+def size_column(value: Column, script: str, **options) -> Column:
+    """How many bytes ``encode_column`` makes of a value; null where it can't be written."""
+    return F.octet_length(encode_column(value, script, **options)).cast("long")
+
+
+def explain(script: str, *, entry: str | None = None, modules: Mapping[str, str] | None = None) -> str:
+    """Which lowering a layout takes, and why not columns; then its Spark schema."""
+    layout = _layout(script, modules)
+    top = layout.entry(entry)
+
+    def said(make) -> str:
+        try:
+            make()
+        except NotLowered as e:
+            return f"rows in Python ({e})"
+        return "Catalyst columns"
+
+    schema = struct_schema(layout, top)
+    read = said(lambda: ColumnPlan(layout, F.col("cell")).build(entry))
+    write = said(lambda: BytesPlan(layout).build(F.col("value"), schema, entry))
+    return f"{top.name}\n  parse: {read}\n  produce: {write}\n{schema.treeString()}"
+
+
 def register(spark: SparkSession, name: str, script: str, *, entry: str | None = None, params: dict | None = None, modules: Mapping[str, str] | None = None) -> None:
     """A SQL function from a binary cell to the JSON text of what it holds (null if it is wrong)."""
     _layout(script, modules).entry(entry)
@@ -211,3 +250,20 @@ def register(spark: SparkSession, name: str, script: str, *, entry: str | None =
     spark.udf.register(name, decode)
 
 
+def register_records(spark: SparkSession, name: str, script: str, field: str, *, entry: str | None = None, params: dict | None = None, modules: Mapping[str, str] | None = None) -> None:
+    """A SQL table function: ``LATERAL name(cell)`` gives (pos, element as JSON) of an array member.
+    A wrong or null cell gives no row."""
+    _layout(script, modules).entry(entry)
+
+    class Records:
+        def eval(self, cell: bytes):
+            if cell is None:
+                return
+            try:
+                scope, _ = Reader(_layout(script, modules)).read(cell, entry, params)
+            except (CellError, RecursionError):
+                return
+            for pos, x in enumerate(scope.out.get(field) or []):
+                yield pos, json.dumps(plain(x), ensure_ascii=False, separators=(",", ":"))
+
+    spark.udtf.register(name, F.udtf(Records, returnType="pos int, element string"))

@@ -289,7 +289,7 @@ def errors_permissive(spark, d):
     """Cells cut at key % 6 bytes: the outcome of each is its error code and what was consumed."""
     k = F.col("o_orderkey") % 6
     cells = table(spark, d, "orders").select(F.substring(le(F.col("o_orderkey"), 5), F.lit(1), k.cast("int")).alias("cell"))
-    got = cells.withColumn("g", decode_column(F.col("cell"), "@root struct R { a: u32le, b: u8 }", lowering="reader"))
+    got = cells.withColumn("g", decode_column(F.col("cell"), "@root struct R { a: u32le, b: u8 }"))
     return got.groupBy(F.col("g.error.code").alias("code"), F.col("g.consumed").alias("consumed")).agg(F.count("*").alias("n"))
 
 

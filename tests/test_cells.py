@@ -45,6 +45,7 @@ def write(script, value, **params):
         ("struct E { k: u16le } @root struct R { a: E[] @greedy }", b"\1\0\2\0\3", {"a": [{"k": 1}, {"k": 2}]}),
         ("struct E { k: u8, @derived i: u32 = _index } @root struct R { a: E[2] }", b"\5\6", {"a": [{"k": 5, "i": 0}, {"k": 6, "i": 1}]}),
         ("bits struct B : u8 { a: bit, b: bit, c: bits[3], d: bits[3] } @root struct R { f: B, @derived e: u32 = f.c + d }", b"\xd5", {"f": {"a": True, "b": False, "c": 5, "d": 6}, "e": 11}),
+        ("bits struct B : u64le { a: bits[64] } @root struct R { f: B }", b"\xff" * 8, {"f": {"a": -1}}),
         ("bits struct B : u64le { a: bits[63], b: bit } @root struct R { f: B }", struct.pack("<Q", 1 << 63 | 7), {"f": {"a": 7, "b": True}}),
         ("enum E : u8 { A = 1, B = 2 } @root struct R { e: E, @derived x: bool = e == E.B }", b"\2", {"e": 2, "x": True}),
         ("enum E : fixed_string[2] { A = \"ab\" } @root struct R { e: E, n: u8 }", b"ab\1", {"e": "ab", "n": 1}),
