@@ -58,10 +58,10 @@ def decode_column(
         raise ValueError(f"output is struct, json or variant, not {output!r}")
     if lowering != "reader" and output == "struct" and not strict and max_elements is None:
         try:
-            value, error, end = ColumnPlan(layout, cell, params).build(entry, enum_names)
+            value, fine, error, end = ColumnPlan(layout, cell, params).build(entry, enum_names)
             if fields is not None:
                 value = F.struct(*[value.getField(f.name).alias(f.name) for f in _pruned(struct_schema(layout, top, enum_names), fields)])
-            there = cell.isNotNull() & error.isNull()
+            there = cell.isNotNull() & fine
             return F.struct(F.when(there, value).alias("value"), F.when(cell.isNotNull(), error).alias("error"), F.when(there, end).alias("consumed"))
         except NotLowered:
             if lowering == "columns":

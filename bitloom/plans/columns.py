@@ -77,6 +77,25 @@ def _long(n: int) -> Column:
     return F.lit(n).cast("long")
 
 
+def _number(raw: Column, n: int, little: bool) -> Column:
+    """Up to eight bytes as a long. Little-endian digits are turned round as a whole; the two
+    digits of each byte then change places as numbers, so the bytes appear twice, not n times."""
+    if not little or n == 1:
+        return F.conv(F.hex(raw), 16, -10).cast("long")
+    turned = F.conv(F.reverse(F.hex(raw)), 16, -10).cast("long")
+    mask = _long(0x0F0F0F0F0F0F0F0F)
+    return F.shiftleft(turned.bitwiseAND(mask), 4).bitwiseOR(F.shiftrightunsigned(turned, 4).bitwiseAND(mask))
+
+
+def digits(value: Column, n: int, little: bool) -> Column:
+    """The last ``n`` bytes of a long as hexadecimal digits, the inverse of ``_number``."""
+    if little and n > 1:
+        mask = _long(0x0F0F0F0F0F0F0F0F)
+        value = F.shiftleft(value.bitwiseAND(mask), 4).bitwiseOR(F.shiftrightunsigned(value, 4).bitwiseAND(mask))
+    out = F.substring(F.lpad(F.hex(value), 16, "0"), 17 - 2 * n, 2 * n)
+    return F.reverse(out) if little and n > 1 else out
+
+
 def _span(kind: str) -> tuple[int, int]:
     sign, n = S.INTS[kind]
     return (-1 << 8 * n - 1, (1 << 8 * n - 1) - 1) if sign == "i" else (0, (1 << 8 * n) - 1)
@@ -113,13 +132,14 @@ class ColumnPlan:
         self.calls, self.lambdas = 0, 0
         self.size = F.length(cell).cast("long")
 
-    def build(self, entry: str | None = None, names: bool = False) -> tuple[Column, Column, Column]:
-        """(struct, error or null, bytes consumed); the first check that fails makes the error."""
+    def build(self, entry: str | None = None, names: bool = False) -> tuple[Column, Column, Column, Column]:
+        """(struct, whether the cell follows the layout, error, bytes consumed); the first check
+        that fails makes the error."""
         self.names = names
         fields, end, _ = self.struct(self.l.entry(entry), Offset(0), {}, ())
         value = F.struct(*fields) if fields else F.struct(F.lit(None).alias("_"))
         if not self.checks:
-            return value, F.lit(None).cast(ERROR), end.column()
+            return value, F.lit(True), F.lit(None).cast(ERROR), end.column()
         wrong = None
         for good, code, message, offset in self.checks:
             made = F.struct(F.lit(code).alias("code"), message.alias("message"), F.coalesce(offset, _long(TOP)).alias("offset"))
@@ -127,7 +147,7 @@ class ColumnPlan:
             wrong = F.when(bad, made) if wrong is None else wrong.when(bad, made)
         most = [self.size >= _long(max(at + n for at, n in self.leaves))] if self.leaves else []
         fine = F.coalesce(reduce(lambda a, b: a & b, most + self.others), F.lit(False))
-        return value, F.when(~fine, wrong).cast(ERROR), end.column()
+        return value, fine, F.when(~fine, wrong).cast(ERROR), end.column()
 
     def check(self, good: Column, code: str, message: str | Column, offset: Column) -> None:
         self.checks.append((good, code, F.lit(message) if isinstance(message, str) else message, offset))
@@ -329,22 +349,18 @@ class ColumnPlan:
     def integer(self, t: S.Type, at: Offset, home: str) -> _Value:
         sign, n = S.INTS[t.kind]
         raw = self.slice(at, n)
-        digits = F.hex(raw)
-        if n > 1 and (t.endian or self.l.home[home].endian) == "le":
-            digits = F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in range(n - 1, -1, -1)])
         from .layout import int_type
 
+        signed = _number(raw, n, (t.endian or self.l.home[home].endian) == "le")
         if n == 8:
-            signed = F.conv(digits, 16, -10).cast("long")
             if sign == "i":
                 return _Value(signed, raw=raw)
-            v = _Value(F.conv(digits, 16, 10).cast("decimal(20,0)"), raw=raw)
+            v = _Value(F.conv(F.hex(signed), 16, 10).cast("decimal(20,0)"), raw=raw)
             v.long = lambda: signed  # type: ignore[method-assign]
             return v
-        v = F.conv(digits, 16, 10).cast("long")
-        if sign == "i":
-            v = F.when(v >= 1 << (8 * n - 1), v - (1 << 8 * n)).otherwise(v)
-        return _Value(v.cast(int_type(t.kind)), raw=raw, span=_span(t.kind))
+        if sign == "i":  # the sign bit moves to the top and back
+            signed = F.shiftright(F.shiftleft(signed, 64 - 8 * n), 64 - 8 * n)
+        return _Value(signed.cast(int_type(t.kind)), raw=raw, span=_span(t.kind))
 
     def bit_fields(self, decl: S.BitsStruct, at: Offset) -> tuple[_Value, Offset]:
         word = self.integer(decl.base, at, decl.name).long()
@@ -452,6 +468,9 @@ class ColumnPlan:
             self.check(found.isNotNull(), "PE100", "no element matches", at.column())
             return items.element(found)
         got, other = items.element(found), self.expr(e.args[1], scope, at)
+        if got.members is not None and other.members is None and not other.text:  # a number has no members: 0
+            numbers = {k: v for k, v in got.members.items() if not v.text and v.members is None and v.element is None}
+            return _Value(None, members={k: _Value(F.coalesce(v.long(), _long(0))) for k, v in numbers.items()})
         if got.members is not None or got.text or other.members is not None or other.text:
             raise NotLowered("find_or of structures")
         return _Value(F.coalesce(got.long(), other.long()))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import syntax as S
-from .columns import NotLowered, two_64
+from .columns import NotLowered, digits, two_64
 from .layout import ENCODINGS, Layout
 
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -102,10 +102,7 @@ class BytesPlan:
         raise NotLowered(f"{kind.simpleString() if kind else None} as a number")
 
     def integer(self, value: Column, size: int, endian: str) -> None:
-        digits = F.substring(F.lpad(F.hex(value), 16, "0"), 17 - 2 * size, 2 * size)
-        if endian != "be" and size > 1:
-            digits = F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in range(size - 1, -1, -1)])
-        self.put("hex", digits, size)
+        self.put("hex", digits(value, size, endian != "be"), size)
 
     def one(self, t: S.Type, value: Column | None, kind: T.DataType | None, home: str, encoding: str, sizes: dict[str, Column], name: str, path: tuple[str, ...]) -> None:
         if t.kind in S.INTS:

@@ -25,8 +25,9 @@ def be(c: Column, n: int) -> Column:
 
 
 def le(c: Column, n: int) -> Column:
-    digits = F.right(F.lpad(F.hex(c.cast("long")), 16, "0"), F.lit(2 * n))
-    return F.unhex(F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in range(n - 1, -1, -1)]))
+    x, low = c.cast("long"), F.lit(0x0F0F0F0F0F0F0F0F)
+    swapped = F.shiftleft(x.bitwiseAND(low), 4).bitwiseOR(F.shiftrightunsigned(x, 4).bitwiseAND(low))  # the digits of each byte
+    return F.unhex(F.reverse(F.substring(F.lpad(F.hex(swapped), 16, "0"), 17 - 2 * n, 2 * n)))
 
 
 def text(c: Column) -> Column:

@@ -24,7 +24,7 @@ SCRIPTS = [
     "@root struct R { size: u64le, body: bytes[size], t: u8 }",
     "@root struct R { n: i64le, a: u16le[n], @derived c: u32 = @count(a) }",
     "@root struct R { a: u8, @derived b: i8 = a * 2, m: u8 = 7 }",
-    "struct E { k: u8, v: i16le } @root struct R { n: u8, @let k = n & 3, a: E[k], @derived any: bool = a.any(e => e.v > 9), @derived all: bool = a.all(e => e.k != 2), @derived x: i64 = a[1].v, @let f = a.find(e => e.k > 60), @derived y: u32 = f.v & 255, s: string[2], @derived z: u32 = @crc32(s, n) + @strlen(s) }",
+    "struct E { k: u8, v: i16le } @root struct R { n: u8, @let k = n & 3, a: E[k], @derived any: bool = a.any(e => e.v > 9), @derived all: bool = a.all(e => e.k != 2), @derived x: i64 = a[1].v, @let f = a.find(e => e.k > 60), @derived y: u32 = f.v & 255, @let g = a.find_or(e => e.v < 0, 3), @derived w: i64 = g.v, s: string[2], @derived z: u32 = @crc32(s, n) + @strlen(s) }",
     "bits struct B : u64le { x: bits[64] } @root struct R { f: B, @derived y: i64 = f.x + 1 }",
     "@map f(v: u8): u8 = { @let w = v + 1, w << 2 } @root struct R { a: u8, @derived b: i64 = f(a) | 1, @align(4) c: u8 }",
 ]
