@@ -2,14 +2,13 @@
 
 A line becomes tokens; a token with a digit is a variable field. The tree has a fixed depth:
 token count, then DEPTH leading tokens, then the leaf. A leaf with several different lines has
-a common form: at each place the most frequent token (of equals, the least). Lines that agree
-with it in at least SAME of the places share one template, whose other places are variable;
-every other line is a template of its own, but for its variable fields.
-The whole job takes a common form only where more than half of the lines agree with it, as that
-of several templates is a mixture. It goes on with all other lines: their leaf is split by the
-token at the place of its most frequent token that not all of them have (tokens of a single line
-stay together), and the parts are treated like leaves, until no two lines of a part have a token
-that another line lacks.
+a common form: at each place the most frequent token (of equals, the least). If more than half of
+its lines agree with that form in at least SAME of the places, those share one template, whose
+other places are variable. All other lines go on: their leaf is split by the token at the place of
+its most frequent token that not all of them have (tokens of a single line stay together), and the
+parts are treated like leaves, until no two lines of a part have a token that another line lacks.
+A line that is left is a template of its own, but for its variable fields, and so is a line of
+fewer than MIN_TOKENS tokens.
 
 A template recurs if it stands in at least MIN_DOCS different texts, between mostly different
 neighbours: more than half as many pairs of neighbouring lines as texts. Copies of a whole
@@ -21,10 +20,6 @@ recurs as well if MIN_DOCS of its texts have content of their own: more than OWN
 as far as sampled, stand in EDGE tokens at an edge of a line that no other text with such a
 template has. Near copies have less, by the measure of the near-duplicate operator: of two texts
 alike to 0.8, a ninth of each is its own.
-
-``op4_linededup`` leaves out that second way, the splitting and lines of fewer than
-MIN_TOKENS tokens (``whole=False``): OP4_SQL defines its results.
-``op4_wholelines`` and the pipeline have it.
 """
 
 from __future__ import annotations
@@ -46,28 +41,28 @@ def masked(line: Column) -> Column:
     return F.when(line.rlike(r"[0-9\t-\r]|  |^ | $"), F.trim(F.regexp_replace(fields, r"[ \t-\r]+", " "))).otherwise(line)
 
 
-def _line(form: Column, edges: bool = False) -> Column:
+def _line(form: Column) -> Column:
     """Hash, leaf, token count and, where it can share a leaf, text of a form, and the hashes of
     its first and last EDGE tokens; ``form`` must be a variable or a column."""
     n = F.when(form == "", 0).otherwise(F.octet_length(form) - F.octet_length(F.replace(form, F.lit(" "), F.lit(""))) + 1)
-    ends = [F.xxhash64(F.substring_index(form, " ", k)).alias(c) for c, k in (("first", EDGE), ("last", -EDGE))] if edges else []
+    ends = [F.xxhash64(F.substring_index(form, " ", k)).alias(c) for c, k in (("first", EDGE), ("last", -EDGE))]
     return F.struct(F.xxhash64(form).alias("h"), F.xxhash64(n, F.substring_index(form, " ", DEPTH)).alias("leaf"), n.alias("n"), F.when(n >= MIN_TOKENS, form).alias("form"), *ends)
 
 
-def _lines(docs: DataFrame, text: str, whole: bool) -> DataFrame:
+def _lines(docs: DataFrame, text: str) -> DataFrame:
     """A row for each line: node (digest of its text), pos, h, leaf, n, form (as _line has it), its
-    neighbours' hash and, for the whole job, those of its edges."""
+    neighbours' hash and those of its edges."""
     content = F.coalesce(col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.unhex(F.md5(content)).alias("node"), F.transform(F.transform(F.split(content, "\n"), masked), lambda x: _line(x, whole)).alias("ls"))
+    rows = docs.select(F.unhex(F.md5(content)).alias("node"), F.transform(F.transform(F.split(content, "\n"), masked), _line).alias("ls"))
 
     def near(x: Column, i: Column) -> Column:
         before = F.when(i > 0, F.get("ls", i - 1)["h"]).otherwise(F.lit(0))
-        return F.struct(i.alias("pos"), x["h"].alias("h"), x["leaf"].alias("leaf"), x["n"].alias("n"), x["form"].alias("form"), F.xxhash64(before, F.coalesce(F.get("ls", i + 1)["h"], F.lit(0))).alias("near"), *[x[c].alias(c) for c in ("first", "last") if whole])
+        return F.struct(i.alias("pos"), x["h"].alias("h"), x["leaf"].alias("leaf"), x["n"].alias("n"), x["form"].alias("form"), F.xxhash64(before, F.coalesce(F.get("ls", i + 1)["h"], F.lit(0))).alias("near"), x["first"].alias("first"), x["last"].alias("last"))
 
     return rows.select("node", F.explode(F.transform("ls", near)).alias("l")).select("node", "l.*")
 
 
-def _generalised(lines: DataFrame, whole: bool) -> DataFrame:
+def _generalised(lines: DataFrame) -> DataFrame:
     """(h, template) of the lines that agree with the common form of their leaf, or of a part."""
     leaves = lines.where(F.col("n") >= MIN_TOKENS).groupBy("leaf").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("leaf")
     leaves = save(leaves)
@@ -82,8 +77,6 @@ def _generalised(lines: DataFrame, whole: bool) -> DataFrame:
         common = counts.groupBy("g", "pos").agg(F.min(F.struct((-F.col("k")).alias("k"), "token")).alias("m")).select("g", "pos", F.col("m.token").alias("token"))
         same = tokens.join(common, ["g", "pos", "token"]).groupBy("h", "g", "n").agg(F.count("*").alias("same"))
         named = same.where(F.col("same") >= SAME * F.col("n")).select("h", F.col("g").alias("template"))
-        if not whole:
-            return named
         settled = named.groupBy("template").agg(F.count("*").alias("k")).join(own.groupBy("g").agg(F.count("*").alias("size")), F.col("g") == F.col("template")).where("2 * k > size")
         named = save(named.join(settled.select("template"), "template", "left_semi").select("h", "template"))
         found = named if found is None else found.unionByName(named)
@@ -119,11 +112,9 @@ def _own_content(lines: DataFrame, nodes: DataFrame) -> DataFrame:
     return sizes.join(alone, "id").where(F.col("own") > OWN * F.col("w")).select("node")
 
 
-def _recurring(lines: DataFrame, named: DataFrame, whole: bool) -> DataFrame:
+def _recurring(lines: DataFrame, named: DataFrame) -> DataFrame:
     seen = named.groupBy("template").agg(F.count_distinct("node").alias("docs"), F.count_distinct("near").alias("places")).where(F.col("docs") >= MIN_DOCS)
     varied = 2 * F.col("places") > F.col("docs")
-    if not whole:
-        return seen.where(varied).select("template")
     seen = save(seen)
     held = save(named.join(seen.where(~varied), "template", "left_semi").select("template", "node").distinct())
     own = _own_content(lines, held.select("node").distinct())
@@ -131,28 +122,26 @@ def _recurring(lines: DataFrame, named: DataFrame, whole: bool) -> DataFrame:
     return seen.where(varied).select("template").unionByName(more.select("template"))
 
 
-def flags(docs: DataFrame, *, text: str = "text", whole: bool = True) -> DataFrame:
+def flags(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """(node, drop): for each different text with a line to drop, whether each line goes."""
-    lines = save(_lines(docs, text, whole))
-    general = _generalised(lines, whole)
+    lines = save(_lines(docs, text))
+    general = _generalised(lines)
     named = save(lines.join(general, "h", "left").select("node", "pos", "near", "n", F.coalesce("template", "h").alias("template")))
-    least = 1 if whole else MIN_TOKENS
-    recurring = _recurring(lines, named.where(F.col("n") >= least), whole).withColumn("recurs", F.lit(True))
-    judged = named.join(recurring, "template", "left").select("node", "pos", (F.coalesce("recurs", F.lit(False)) & (F.col("n") >= least)).alias("drop"))
+    recurring = _recurring(lines, named.where("n > 0")).withColumn("recurs", F.lit(True))
+    judged = named.join(recurring, "template", "left").select("node", "pos", (F.coalesce("recurs", F.lit(False)) & (F.col("n") > 0)).alias("drop"))
     each = judged.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("pos", "drop"))).alias("ls"))
     return each.where(F.exists("ls", lambda x: x["drop"])).select("node", F.transform("ls", lambda x: x["drop"]).alias("drop"))
 
 
-def drop_lines(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None, whole: bool = True) -> DataFrame:
+def drop_lines(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with the text's remaining lines, n_lines and n_dropped.
 
     Lines are the parts between newlines, so an empty or null text has one empty line; lines
-    without tokens always stay. Lines of fewer than MIN_TOKENS tokens are templates of their own
-    form, and stay if not ``whole``. A null text stays null. Repeated rows are all
-    judged alike; columns named like a new one are replaced.
+    without tokens always stay. A null text stays null. Repeated rows are all judged alike;
+    columns named like a new one are replaced. An empty table gives an empty result.
     """
     names = list(docs.columns) if keep is None else keep
-    marks = flags(docs, text=text, whole=whole)
+    marks = flags(docs, text=text)
     content = F.coalesce(col(text).cast("string"), F.lit(""))
     row = docs.select(F.struct(*[col(c) for c in names]).alias("row"), col(text).cast("string").alias("text"), F.unhex(F.md5(content)).alias("node"))
     joined = row.join(marks, "node", "left")
@@ -167,19 +156,9 @@ def drop_lines(docs: DataFrame, *, text: str = "text", keep: list[str] | None =
     return joined.select(*kept, *[e.alias(c) for c, e in new.items() if c not in names or c != text])
 
 
-def _digests(spark, sf_dir: str, whole: bool) -> DataFrame:
-    done = drop_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"], whole=whole)
-    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
-
-
 def op4_linededup(spark, sf_dir: str) -> DataFrame:
-    """What OP4_SQL says."""
-    return _digests(spark, sf_dir, whole=False)
-
-
-def op4_wholelines(spark, sf_dir: str) -> DataFrame:
-    """The whole job, as in the pipeline. It has no SQL."""
-    return _digests(spark, sf_dir, whole=True)
+    done = drop_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"])
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 #: The same in DuckDB, with the templates themselves instead of their hashes. ``{docs}`` is the
@@ -188,37 +167,68 @@ LINES_SQL = r"""
 lines AS (
   SELECT md5(coalesce(text, '')) AS node, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
-  FROM (SELECT DISTINCT text FROM {docs})
+  FROM (SELECT DISTINCT coalesce(text, '') AS text FROM {docs})
 ), formed AS (
-  SELECT node, pos, array_to_string(list_transform(list_filter(regexp_split_to_array(line, '[ \t-\r]+'), lambda x: x <> ''),
-         lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END), ' ') AS form
+  SELECT node, pos, list_transform(list_filter(regexp_split_to_array(line, '[ \t-\r]+'), lambda x: x <> ''),
+         lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS ts
   FROM lines
-), placed AS (
-  SELECT node, pos, form, CASE WHEN form = '' THEN 0 ELSE len(string_split(form, ' ')) END AS n,
-         array_to_string(string_split(form, ' ')[1:4], ' ') AS lead,
-         coalesce(lag(form) OVER w, chr(1)) || chr(2) || coalesce(lead(form) OVER w, chr(1)) AS near
+), placed AS MATERIALIZED (
+  SELECT node, pos, ts, len(ts) AS n, array_to_string(ts, ' ') AS form, array_to_string(ts[1:4], ' ') AS lead,
+         coalesce(lag(array_to_string(ts, ' ')) OVER w, chr(1)) || chr(2) || coalesce(lead(array_to_string(ts, ' ')) OVER w, chr(1)) AS near
   FROM formed WINDOW w AS (PARTITION BY node ORDER BY pos)
 ), own AS (
-  SELECT DISTINCT form, n, lead FROM placed WHERE n >= 4
-), leaves AS (
-  SELECT n, lead FROM own GROUP BY ALL HAVING count(*) > 1
-), tokens AS (
-  SELECT form, n, lead, unnest(string_split(form, ' ')) AS token, generate_subscripts(string_split(form, ' '), 1) AS pos
-  FROM own JOIN leaves USING (n, lead)
-), common AS (
-  SELECT n, lead, pos, token FROM (
-    SELECT n, lead, pos, token, row_number() OVER (PARTITION BY n, lead, pos ORDER BY count(*) DESC, token) AS r
-    FROM tokens GROUP BY n, lead, pos, token) WHERE r = 1
+  SELECT DISTINCT form, n, n || ' ' || lead AS g FROM placed WHERE n >= 4
+), rounds AS (
+  SELECT form, n, g, false AS settled FROM own WHERE g IN (SELECT g FROM own GROUP BY g HAVING count(*) > 1)
+  UNION ALL
+  (WITH now AS (SELECT form, n, g FROM rounds WHERE NOT settled
+  ), tokens AS (
+    SELECT form, n, g, unnest(string_split(form, ' ')) AS token, generate_subscripts(string_split(form, ' '), 1) AS pos FROM now
+  ), common AS (
+    SELECT g, pos, token FROM (
+      SELECT g, pos, token, row_number() OVER (PARTITION BY g, pos ORDER BY count(*) DESC, token) AS r FROM tokens GROUP BY g, pos, token) WHERE r = 1
+  ), same AS (
+    SELECT form, n, g FROM tokens JOIN common USING (g, pos, token) GROUP BY form, n, g HAVING count(*) >= 0.8 * n
+  ), good AS (
+    SELECT g FROM (SELECT g, count(*) AS k FROM same GROUP BY g) JOIN (SELECT g, count(*) AS size FROM now GROUP BY g) USING (g) WHERE 2 * k > size
+  ), named AS (
+    SELECT form, n, g FROM same WHERE g IN (SELECT g FROM good)
+  ), rest AS (
+    SELECT form, n, g FROM now WHERE form NOT IN (SELECT form FROM named)
+  ), counts AS (
+    SELECT g, pos, token, k FROM (
+      SELECT g, pos, token, count(*) AS k FROM tokens WHERE form NOT IN (SELECT form FROM named) GROUP BY g, pos, token
+    ) JOIN (SELECT g, count(*) AS size FROM rest GROUP BY g) USING (g) WHERE k > 1 AND k < size
+  ), place AS (
+    SELECT g, pos FROM (SELECT g, pos, row_number() OVER (PARTITION BY g ORDER BY k DESC, pos) AS r FROM counts) WHERE r = 1
+  ), parted AS (
+    SELECT form, n, g || chr(2) || pos || coalesce(chr(3) || counts.token, '') AS g
+    FROM (SELECT form, n, g, pos, string_split(form, ' ')[pos] AS token FROM rest JOIN place USING (g)) LEFT JOIN counts USING (g, pos, token)
+  )
+  SELECT form, n, g, true FROM named
+  UNION ALL
+  SELECT form, n, g, false FROM parted WHERE g IN (SELECT g FROM parted GROUP BY g HAVING count(*) > 1))
 ), general AS (
-  SELECT form FROM tokens JOIN common USING (n, lead, pos, token) GROUP BY form, n HAVING count(*) >= 0.8 * n
-), named AS (
-  SELECT node, placed.pos, near, n, CASE WHEN general.form IS NULL THEN 'H' || placed.form ELSE 'L' || n || ' ' || lead END AS template
-  FROM placed LEFT JOIN general ON placed.form = general.form
+  SELECT form, g FROM rounds WHERE settled
+), named AS MATERIALIZED (
+  SELECT node, placed.pos, near, n, coalesce('L' || g, 'H' || placed.form) AS template FROM placed LEFT JOIN general ON placed.form = general.form
+), seen AS (
+  SELECT template, 2 * count(DISTINCT near) > count(DISTINCT node) AS varied FROM named WHERE n > 0 GROUP BY template HAVING count(DISTINCT node) >= 5
+), held AS (
+  SELECT DISTINCT template, node FROM named JOIN seen USING (template) WHERE NOT varied
+), edges AS (
+  SELECT node, array_to_string(ts[1:5], ' ') AS u, least(n, 5) AS w FROM placed WHERE n > 0 AND node IN (SELECT node FROM held)
+  UNION ALL
+  SELECT node, array_to_string(ts[n - 4:n], ' '), least(n - 5, 5) FROM placed WHERE n > 5 AND node IN (SELECT node FROM held)
+), distinct_nodes AS (
+  SELECT node FROM (SELECT min(node) AS node, sum(w) AS own FROM edges GROUP BY u HAVING min(node) = max(node)) JOIN (SELECT node, sum(w) AS w FROM edges GROUP BY node) USING (node)
+  GROUP BY node, w HAVING sum(own) > w / 9.0
 ), recurring AS (
-  SELECT template FROM named WHERE n >= 4 GROUP BY template
-  HAVING count(DISTINCT node) >= 5 AND 2 * count(DISTINCT near) > count(DISTINCT node)
+  SELECT template FROM seen WHERE varied
+  UNION ALL
+  SELECT template FROM held WHERE node IN (SELECT node FROM distinct_nodes) GROUP BY template HAVING count(*) >= 5
 ), judged AS (
-  SELECT node, named.pos, line, recurring.template IS NOT NULL AND n >= 4 AS dropped
+  SELECT node, named.pos, line, recurring.template IS NOT NULL AND n > 0 AS dropped
   FROM named JOIN lines USING (node, pos) LEFT JOIN recurring ON named.template = recurring.template
 ), left_over AS (
   SELECT node, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
@@ -226,7 +236,7 @@ lines AS (
   FROM judged GROUP BY node
 )"""
 
-OP4_SQL = "WITH " + LINES_SQL.format(docs="documents").lstrip() + """
+OP4_SQL = "WITH RECURSIVE " + LINES_SQL.format(docs="documents").lstrip() + """
 SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256
 FROM documents JOIN left_over ON md5(coalesce(text, '')) = node
 """

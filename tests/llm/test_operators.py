@@ -245,6 +245,21 @@ def test_leaf_holds_several_templates(spark):
     assert [got[i] for i in range(24)] == [1] * 12 + [0] * 12
 
 
+def test_lines_equal_their_sql(spark):
+    import duckdb
+
+    names = ["anna", "boris", "clara", "dmitri", "elena", "farid"]
+    ends = ["on the wiki of our town", "from the mirror in the north"]
+    lines = [f"this page was last {a} {n} {e}" for a, e in zip(("edited by", "copied to"), ends, strict=True) for n in names] + [f"this page was last {prose(8)}" for _ in range(12)]
+    footer = [prose(9) for _ in range(3)]
+    texts = [f"{prose(9)}\n{x}\n{prose(7)}" for x in lines] + ["\n".join([prose(30), *footer]) for _ in range(7)] + [t for _, t, *_ in ROWS] + [f"{prose(9)}\nPage {i}\n a\t b" for i in range(6)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.n_dropped, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in linededup.drop_lines(df).collect()}
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    assert got == {r[0]: tuple(r[1:]) for r in con.execute(linededup.OP4_SQL).fetchall()} and sum(x[1] for x in got.values()) > 30
+
+
 def test_short_lines_go(spark):
     got = dropped(spark, [f"{prose(9)}\n\n{prose(7)}\nAll rights reserved.\nPage {i}\nnext" for i in range(8)] + [f"{prose(9)}\nonce more"] * 3)
     assert [got[i] for i in range(11)] == [3] * 8 + [0] * 3
@@ -412,6 +427,68 @@ def test_language_model(docs, empty, monkeypatch):
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score <= 0
 
 
+def test_language_model_scores_equal_brute_force(spark, monkeypatch):
+    """With its first parameters, the model's score by a plain forward recursion over plain counts."""
+    monkeypatch.setattr(lm, "PASSES", 0)
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 300)
+    monkeypatch.setattr(lm, "HEAD", 20)
+    texts = [prose(30) for _ in range(20)] + ["a bb zzz", "", "Ta tan, unheard-of " + "q" * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    split = lambda t: bytes(c + 32 if 65 <= c <= 90 else c for c in t.encode()).split()
+    counts = Counter(w for i, t in enumerate(texts) if not held(i) for w in split(t))
+    ends = sum(not held(i) for i in range(len(texts)))
+    head = sorted(counts, key=lambda w: (-counts[w], w))
+    own = head[: math.ceil(lm.OWN_SCALE * (len(counts) + 1) ** 0.5)]
+    form = lambda w: int(lm.forms_of(*lm.laid_out([w]))[0])
+    mass, once, seen = np.zeros(lm.FORMS), np.zeros(lm.FORMS), np.zeros(256)
+    for w, n in counts.items():
+        seen += np.bincount(np.frombuffer(w, np.uint8), minlength=256)
+        if w not in own:
+            mass[form(w)] += n
+            once[form(w)] += n == 1
+    total = sum(seen[b] + 1 for b in range(256) if lm.INNER[b]) + len(counts) + 1
+    end = (len(counts) + 1) / total
+    spelled = lambda w: math.prod((seen[b] + 1) / total for b in w) * end / (1 - end)
+    left = lm.Spelling(seen, len(counts)).masses()
+    for w in counts:
+        left[form(w)] -= spelled(w)
+    shares = np.concatenate([[ends], [counts[w] for w in own], mass]) + 1
+    model = lm.Hmm.first(shares / shares.sum())
+
+    def token(w):
+        if w is None:
+            return 0, 1.0
+        if w in own:
+            return 1 + own.index(w), 1.0
+        k = form(w)
+        unseen = (once[k] + 1) / (mass[k] + once[k] + 2) if mass[k] else 1.0
+        return 1 + len(own) + k, (1 - unseen) * counts[w] / mass[k] if counts[w] else unseen * spelled(w) / left[k]
+
+    for r in lm.score(df.withColumn("score", F.lit("clash"))).collect():
+        a, log = None, 0.0
+        for w in [*split(r.text), None]:
+            k, share = token(w)
+            a = (model.start if a is None else a @ model.move) * model.emit[:, k]
+            log += math.log10(a.sum()) + math.log10(share)
+            a = a / a.sum()
+        assert r.score == pytest.approx(log, rel=1e-9), r.text
+
+
+def test_spelling_and_words_in_stretches(monkeypatch):
+    spelling = lm.Spelling(np.bincount(np.frombuffer(b"abcabca", np.uint8), minlength=256), 3)
+    assert spelling.masses().sum() == pytest.approx(1, rel=1e-9)
+    one = np.flatnonzero(lm.INNER)
+    short = np.zeros(lm.FORMS)
+    for words in ([bytes([a]) for a in one], [bytes([a, b]) for a in one for b in one]):
+        data, starts, size = lm.laid_out(words)
+        np.add.at(short, lm.forms_of(data, starts, size), 10 ** spelling.of(data, starts))
+    assert (short <= spelling.masses() + 1e-12).all()
+    monkeypatch.setattr(lm, "STRETCH", 7)
+    text = b"Some words, and  one-much-longer\tword " * 5
+    assert [w for ws in lm.word_lists(text) for w in ws] == text.lower().split() and list(lm.word_lists(b"")) == []
+
+
 def test_forward_and_counts_equal_enumeration():
     from itertools import product
 
@@ -440,3 +517,24 @@ def test_forward_and_counts_equal_enumeration():
                 emit[s, x] += p / whole
     for a, b in zip(counts, (start, move, emit), strict=True):
         assert np.allclose(a, b)
+
+
+# ---- every operator
+
+
+def test_clashing_columns_and_very_long_texts(spark, labels):
+    """Columns named like new ones, and a text of 0.2 MB with words of 20 kB, go through every operator."""
+    long = (prose(3000) + "\n") * 10 + "w" * 20_000 + " " + "é" * 10_000
+    names = ["n_words", "n_hit", "items", "score", "predicted", "held_out", "n_tokens", "n_bytes", "kept", "node", "class_id", "n_lines", "n_dropped", "row", "word", "bucket", "license", "ids"]
+    rows = [(i, t) for i, t in enumerate([long, long + " more", BASE[0], None])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit("x").alias(c) for c in names])
+    items = spark.createDataFrame([(1, BASE[0])], "item_id long, text string")
+    done = {
+        "licences": licences.scan(df, licences.notices(spark)), "decontaminate": decontaminate.scan(df, items), "clean": decontaminate.clean(df, items),
+        "neardup": neardup.deduplicate(df), "lines": linededup.drop_lines(df), "repeats": substrings.remove_repeats(df), "bpe": bpe.encode(df, bpe.word_bpe_path()),
+        "classifier": classifier.score(df, labels), "accepted": classifier.accepted(df, labels), "lm": lm.score(df),
+    }
+    got = {name: out.count() for name, out in done.items()}
+    assert got == dict.fromkeys(done, 4) | {"clean": 3, "neardup": 3, "accepted": got["accepted"]}
+    for name, out in done.items():
+        assert len(set(out.columns)) == len(out.columns), name
