@@ -6,8 +6,7 @@ All positions are covered, in three steps.
    the last) is its anchor. Equal runs have equal anchors, so only runs whose anchor's hash
    occurs at least twice can repeat. Each start belongs to exactly one anchor; the starts of an
    anchor are consecutive and make, with the SPAN - 1 bytes after them, its context.
-2. *Suffix order.* Equal contexts are one, with a weight; an anchor with a single context
-   (which then occurs twice at least) repeats whole. Different contexts with the same anchor go to
+2. *Suffix order.* Equal contexts are one, with a weight. Contexts with the same anchor go to
    the same shard (a frequent anchor's are dealt over several); a shard's contexts are sorted by
    external induced sorting (``induced``), and neighbours in the order that share SPAN bytes make
    a class. Classes of an anchor that was dealt out are joined across its shards by digest.
@@ -217,17 +216,14 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", keep: list[str] | Non
     contexts = save(contexts)
     variety = contexts.groupBy("h").agg(F.count("*").alias("n"))
     contexts = save(contexts.join(variety, "h"))
-    several = contexts.where("n > 1")
-    volume, widest = several.agg(F.sum(F.col("many") + SPAN), F.max("n")).first()
+    volume, widest = contexts.agg(F.sum(F.col("many") + SPAN), F.max("n")).first()
     shards = max(1, -(-(volume or 0) // SHARD_BYTES))
     shard = F.pmod(F.xxhash64("h", F.pmod("c", F.ceil(F.col("n") / DEAL))), F.lit(shards)).cast("int")
-    listed = several.groupBy("n1", "n2").agg(F.collect_list(F.struct(shard.alias("shard"), (F.col("n") > DEAL).alias("dealt"), "h", "c", "w", "begin", "many")).alias("contexts"))
+    listed = contexts.groupBy("n1", "n2").agg(F.collect_list(F.struct(shard.alias("shard"), (F.col("n") > DEAL).alias("dealt"), "h", "c", "w", "begin", "many")).alias("contexts"))
     found = whole.select("n1", "n2", "text").join(listed, ["n1", "n2"]).select("text", "contexts").mapInArrow(_extracted, "shard int, dealt boolean, h long, c long, w long, many long, bytes binary")
     judged = save(found.groupBy("shard").applyInArrow(_sorted_shard, RESULT))
     release(spark)
     marks = judged.where("g is null").select("h", "c", "starts")
-    alone = contexts.where("n = 1").select("h", "c", F.array(F.lit(0), (F.col("many") - 1).cast("int")).alias("starts"))
-    marks = marks.unionByName(alone)
     if (widest or 0) > DEAL:
         apart = judged.where("g is not null")
         twice = apart.groupBy("g").agg(F.sum("w").alias("t")).where("t > 1").select("g")
