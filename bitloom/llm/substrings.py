@@ -209,13 +209,13 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", keep: list[str] | Non
     all_anchors = save(whole.select("n1", "n2", "w", "text").mapInArrow(_contexts, "n1 long, n2 long, w long, h long, c long, begin long, many long"))
     release(spark)
     often = all_anchors.groupBy("h").agg(F.sum("w").alias("t")).where("t > 1").select("h")
-    repeated = save(all_anchors.join(often, "h"))
+    repeated = save(all_anchors.join(save(often), "h"))  # from tables, so that frequent anchors' partitions can be split
     release(spark)
     clear_scratch(spark, [t for t in scratch_tables(spark) if t not in before][:-1])
     contexts = repeated.groupBy("h", "c").agg(F.sum("w").alias("w"), *[F.first(x).alias(x) for x in ("n1", "n2", "begin", "many")])
     contexts = save(contexts)
     variety = contexts.groupBy("h").agg(F.count("*").alias("n"))
-    contexts = save(contexts.join(variety, "h"))
+    contexts = save(contexts.join(save(variety), "h"))
     volume, widest = contexts.agg(F.sum(F.col("many") + SPAN), F.max("n")).first()
     shards = max(1, -(-(volume or 0) // SHARD_BYTES))
     shard = F.pmod(F.xxhash64("h", F.pmod("c", F.ceil(F.col("n") / DEAL))), F.lit(shards)).cast("int")
