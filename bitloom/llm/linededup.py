@@ -33,6 +33,10 @@ DEPTH, SAME, MIN_DOCS, MIN_TOKENS = 4, 0.8, 5, 4
 EDGE, OWN = 5, 1 / 9
 #: Rows of leaves that may be broadcast: 8 bytes each, so 16 MB at most as data.
 LEAVES = 2_000_000
+#: Forms, and bytes of them, of a part that is split to its end as one row; larger ones are split by joins.
+PART, PART_BYTES = 256, 256 << 10
+#: Steps of splitting such rows in one query.
+STEPS = 16
 
 
 def masked(line: Column) -> Column:
@@ -70,7 +74,7 @@ def _generalised(lines: DataFrame) -> DataFrame:
     own = own.join(F.broadcast(leaves) if leaves.count() <= LEAVES else leaves, "leaf", "left_semi")
     own = save(own.groupBy("h", "leaf", "n").agg(F.first("form").alias("form")))
     own = own.withColumn("g", F.xxhash64(F.lit("leaf"), "leaf"))
-    found = None
+    found = small = None
     while True:
         tokens = own.select("h", "g", "n", F.posexplode(F.split("form", " ")).alias("pos", "token"))
         counts = tokens.groupBy("g", "pos", "token").agg(F.count("*").alias("k"))
@@ -81,13 +85,16 @@ def _generalised(lines: DataFrame) -> DataFrame:
         named = save(named.join(settled.select("template"), "template", "left_semi").select("h", "template"))
         found = named if found is None else found.unionByName(named)
         own = _split(own.join(named, "h", "left_anti"))
+        part = own.where("small").drop("small")
+        small = part if small is None else small.unionByName(part)
+        own = own.where("not small").drop("small")
         if own.isEmpty():
-            return found
+            return found.unionByName(_settled(small))
 
 
 def _split(left: DataFrame) -> DataFrame:
-    """The lines in smaller groups, without those that are alone. No group has all lines of
-    another, so splitting ends."""
+    """The lines in smaller groups, without those that are alone, and whether their group is
+    small. No group has all lines of another, so splitting ends."""
     left = save(left)
     sizes = left.groupBy("g").agg(F.count("*").alias("size")).where("size > 1")
     tokens = left.select("g", F.posexplode(F.split("form", " ")).alias("pos", "token"))
@@ -98,7 +105,69 @@ def _split(left: DataFrame) -> DataFrame:
     at = left.join(place, "g").withColumn("token", F.get(F.split("form", " "), F.col("pos")))
     parted = at.join(parts, ["g", "token"], "left").select("h", "leaf", "n", "form", F.xxhash64("g", "pos", F.when(F.col("often"), F.col("token"))).alias("g"))
     parted = save(parted)
-    return parted.join(parted.groupBy("g").count().where("count > 1").select("g"), "g", "left_semi").select("h", "leaf", "n", "form", "g")
+    small = (F.count("*") <= PART) & (F.sum(F.octet_length("form")) <= PART_BYTES)
+    sizes = parted.groupBy("g").agg(F.count("*").alias("size"), small.alias("small")).where("size > 1").select("g", "small")
+    return save(parted.join(sizes, "g").select("h", "leaf", "n", "form", "g", "small"))
+
+
+def _settled(own: DataFrame) -> DataFrame:
+    """(h, template) of the lines of small groups that share a template: the same steps, with a
+    group and then each of its parts as a row, so that many steps are one projection."""
+    line = F.struct("h", F.split("form", " ").alias("ts"))
+    groups = own.groupBy("g").agg(F.collect_list(line).alias("ls")).select("g", "ls", F.lit(False).alias("done"))
+    found, step = None, _step()
+    while True:
+        for columns in step * STEPS:
+            groups = groups.select(*columns)
+        groups = save(groups)
+        named = groups.where("done").select(F.explode("ls.h").alias("h"), F.col("g").alias("template"))
+        found = named if found is None else found.unionByName(named)
+        groups = groups.where("not done")
+        if groups.isEmpty():
+            return found
+
+
+def _step() -> list[list]:
+    """Projections that turn each group that is not done into its lines that share a template
+    (done) and its parts of several lines."""
+
+    def each_place(ls: str, f) -> Column:
+        """An array of f(place, tokens of all lines there)."""
+        places = F.sequence(F.lit(0), F.size(F.get(ls, F.lit(0))["ts"]) - 1)
+        return F.transform(F.transform(places, lambda p: F.struct(p.alias("p"), F.transform(ls, lambda x: F.get(x["ts"], p)).alias("ts"))), lambda c: f(c["p"], c["ts"]))
+
+    def times(ts: Column, token: Column) -> Column:
+        return F.size(F.filter(ts, lambda t: t == token))
+
+    def most(p: Column, ts: Column) -> Column:
+        return F.array_min(F.transform(F.array_distinct(ts), lambda t: F.struct((-times(ts, t)).alias("k"), t.alias("token"))))["token"]
+
+    def often(p: Column, ts: Column) -> Column:
+        ks = F.transform(F.array_distinct(ts), lambda t: times(ts, t))
+        return F.struct(F.array_max(F.filter(ks, lambda k: (k > 1) & (k < F.size(ts)))).alias("k"), (-p).alias("p"))
+
+    live = ~F.col("done")
+    good = F.transform("ls", lambda x: F.size(F.filter(F.zip_with(x["ts"], "common", lambda a, b: a == b), lambda y: y)) >= SAME * F.size("common"))
+    settles = live & (2 * F.size(F.filter("good", lambda y: y)) > F.size("good"))
+    named = F.when(F.col("done"), F.col("ls")).when(F.col("settles"), F.filter("ls", lambda x, i: F.get("good", i)))
+    rest = F.when(F.col("settles"), F.filter("ls", lambda x, i: ~F.get("good", i))).when(live, F.col("ls"))
+    place = F.array_max(F.filter(each_place("rest", often), lambda c: c["k"].isNotNull()))
+    at = F.when(F.col("pos").isNotNull(), F.transform("rest", lambda x: F.get(x["ts"], F.col("pos"))))
+    token = F.transform("at", lambda t: F.when(times(F.col("at"), t) > 1, t))
+    parts = F.transform(F.array_distinct("token"), lambda t: F.struct(F.xxhash64("g", "pos", t).alias("g"), F.filter("rest", lambda x, i: F.get("token", i).eqNullSafe(t)).alias("ls"), F.lit(False).alias("done")))
+    parts = F.coalesce(F.filter(parts, lambda x: F.size(x["ls"]) > 1), F.array())
+    done = F.when(F.col("named").isNotNull(), F.array(F.struct("g", F.col("named").alias("ls"), F.lit(True).alias("done")))).otherwise(F.array())
+    return [
+        ["g", "ls", "done", F.when(live, each_place("ls", most)).alias("common")],
+        ["g", "ls", "done", F.when(live, good).alias("good")],
+        ["g", "ls", "done", "good", settles.alias("settles")],
+        ["g", named.alias("named"), rest.alias("rest")],
+        ["g", "named", "rest", (-F.when(F.size("rest") > 1, place)["p"]).alias("pos")],
+        ["g", "named", "rest", "pos", at.alias("at")],
+        ["g", "named", "rest", "pos", token.alias("token")],
+        [F.explode(F.concat(done, parts)).alias("x")],
+        ["x.*"],
+    ]
 
 
 def _own_content(lines: DataFrame, nodes: DataFrame) -> DataFrame:

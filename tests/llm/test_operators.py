@@ -260,6 +260,27 @@ def test_lines_equal_their_sql(spark):
     assert got == {r[0]: tuple(r[1:]) for r in con.execute(linededup.OP4_SQL).fetchall()} and sum(x[1] for x in got.values()) > 30
 
 
+def test_parts_are_split_in_few_tables_as_their_sql_does(spark, monkeypatch):
+    import duckdb
+
+    from bitloom.llm.common import scratch_tables
+
+    lines = [f"this page was last {' '.join(RNG.choice(['red', 'blue', 'green'], 9))}" for _ in range(60)]
+    texts = [f"{prose(9)}\n{lines[i % 60]}\n{lines[i * 7 % 60]} again\n{prose(7)}" for i in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    want = {r[0]: tuple(r[1:]) for r in con.execute(linededup.OP4_SQL).fetchall()}
+    assert len({x[1] for x in want.values()}) > 1
+    for part, steps, most in ((256, 16, 16), (4, 1, None)):
+        monkeypatch.setattr(linededup, "PART", part, raising=False)
+        monkeypatch.setattr(linededup, "STEPS", steps, raising=False)
+        before = len(scratch_tables(spark))
+        got = {r.doc_id: (r.n_lines, r.n_dropped, hashlib.sha256(r.text.encode()).hexdigest()) for r in linededup.drop_lines(df).collect()}
+        assert got == want
+        assert most is None or len(scratch_tables(spark)) - before <= most
+
+
 def test_short_lines_go(spark):
     got = dropped(spark, [f"{prose(9)}\n\n{prose(7)}\nAll rights reserved.\nPage {i}\nnext" for i in range(8)] + [f"{prose(9)}\nonce more"] * 3)
     assert [got[i] for i in range(11)] == [3] * 8 + [0] * 3
