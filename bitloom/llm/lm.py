@@ -45,6 +45,8 @@ HEAD, HEAD_WORD = 1 << 16, 64
 BUCKET_BYTES, BUCKET_ROWS = 12 << 20, 1 << 20
 #: Bytes of a text that are split into words at once, and words counted before they are sent on.
 STRETCH, COUNTED = 1 << 20, 200_000
+#: Words whose figures are looked up at once.
+WAITING = 1 << 16
 CELLS = 1 << 18
 FOLDS, HELD = 7, 2
 #: The end of a text; no word has a blank.
@@ -199,10 +201,12 @@ def _coding(held, row_type: pa.DataType):
         task = TaskContext.get().partitionId() << 20
         bucket, size = 0, 0
         numbers = _Vocabulary(lexicon.number)
-        docs: list[tuple] = []
+        docs: list[list] = []
 
         def texts_rows() -> pa.RecordBatch:
             m = len(docs)
+            for d in docs:
+                d[6] += stop
             cols = list(zip(*[d[2:] for d in docs], strict=True))
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary())
             rows = pa.concat_arrays([d[0] for d in docs])
@@ -218,38 +222,57 @@ def _coding(held, row_type: pa.DataType):
             kinds = (pa.int64(), row_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([task + bucket] * n, pa.int64()), pa.array(words, pa.binary()), pa.array(np.arange(n), pa.int32()), pa.array(known), pa.array(unknown), *[pa.nulls(n, k) for k in kinds]], NAMES)
 
-        def coded(text: bytes, grown: np.ndarray) -> tuple[tuple, np.ndarray]:
-            tokens, known, base, within, classes, tails = 1, int(lexicon.count[0] > 0), base_of[0], 0.0, [], []
-            if lexicon.count[0] > 0:
-                within += lexicon.within[0]
-            for words in word_lists(text):
-                x = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-                if len(numbers) - head > len(grown):  # forms of the words that are new in this bucket
-                    fresh = list(numbers)[head + len(grown) :] if len(grown) == 0 else _last(numbers, len(numbers) - head - len(grown))
-                    grown = np.append(grown, 1 + lexicon.own + forms_of(*laid_out(fresh)))
-                front = x < head
-                own = x[front]
-                tokens, known = tokens + len(x), known + len(own)
-                base, within = base + base_of[own].sum(), within + lexicon.within[own].sum()
-                k = np.empty(len(x), np.int64)
-                k[front], k[~front] = lexicon.klass[own], grown[x[~front] - head]
-                classes.append(k.astype(code).tobytes())
-                tails.append((x[~front] - head).astype("<u4").tobytes())
-            classes.append(np.zeros(1, code).tobytes())
-            return (tokens, known, float(base), float(within), b"".join(classes), b"".join(tails)), grown
-
+        def flush() -> None:
+            """Figures, classes and numbers of the words that wait, added to their texts."""
+            nonlocal grown, waiting, n_waiting
+            if not waiting:
+                return
+            x = np.concatenate([w for _, w in waiting])
+            size = np.array([len(w) for _, w in waiting])
+            first = np.cumsum(size) - size
+            if len(numbers) - head > len(grown):  # forms of the words that are new in this bucket
+                fresh = list(numbers)[head:] if len(grown) == 0 else _last(numbers, len(numbers) - head - len(grown))
+                grown = np.append(grown, 1 + lexicon.own + forms_of(*laid_out(fresh)))
+            k = np.append(lexicon.klass, grown)[x].astype(code)
+            front = x < head
+            rare = (x[~front] - head).astype("<u4")
+            own = np.where(front, x, head)
+            n_known = np.add.reduceat(front.astype(np.int64), first)
+            base, within = np.add.reduceat(bases[own], first), np.add.reduceat(shares[own], first)
+            cut = np.append(0, np.cumsum(size - n_known))
+            for j, (doc, _) in enumerate(waiting):
+                doc[2] += int(size[j])
+                doc[3] += int(n_known[j])
+                doc[4] += float(base[j])
+                doc[5] += float(within[j])
+                doc[6] += k[first[j] : first[j] + size[j]].tobytes()
+                doc[7] += rare[cut[j] : cut[j + 1]].tobytes()
+            waiting, n_waiting = [], 0
+
+        end = [1, int(lexicon.count[0] > 0), float(base_of[0]), float(lexicon.within[0]) if lexicon.count[0] > 0 else 0.0]
+        stop = np.zeros(1, code).tobytes()
+        bases, shares = np.append(base_of, 0.0), np.append(lexicon.within, 0.0)
         grown = np.zeros(0, np.int64)
+        waiting: list[tuple[list, np.ndarray]] = []
+        n_waiting = 0
         for batch in batches:
             own = batch.column(1).to_pylist()
             for i, text in enumerate(_texts(batch.column(2))):
-                figures, grown = coded(text, grown)
-                docs.append((batch.column(0).slice(i, 1), own[i], *figures))
+                docs.append([batch.column(0).slice(i, 1), own[i], *end, bytearray(), bytearray()])
+                for words in word_lists(text):
+                    if words:
+                        waiting.append((docs[-1], np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))))
+                        n_waiting += len(words)
+                        if n_waiting >= WAITING:
+                            flush()
                 size += len(text)
                 if size >= BUCKET_BYTES or len(docs) >= BUCKET_ROWS:
+                    flush()
                     yield texts_rows()
                     yield words_rows()
                     bucket, size, docs, numbers, grown = bucket + 1, 0, [], _Vocabulary(lexicon.number), np.zeros(0, np.int64)
         if docs:
+            flush()
             yield texts_rows()
             yield words_rows()
 
@@ -293,16 +316,20 @@ class Hmm:
             lo = hi
 
     def _forward(self, size: np.ndarray, padded: np.ndarray, seen: list | None = None) -> np.ndarray:
+        """Arrays have a row for each state, so that the inner loops run over texts. ``seen`` gets
+        the scaled forward variables and the factors of each place."""
         total = np.zeros(len(size))
-        emit = np.ascontiguousarray(self.emit.T)
         alive = np.searchsorted(-size, -np.arange(len(padded)), "left")
-        a = self.start
+        onward = np.ascontiguousarray(self.move.T)
+        a = self.start[:, None]
         for t in range(len(padded)):
             n = alive[t]
-            a = (a if t == 0 else a[:n] @ self.move) * emit[padded[t, :n]]
-            scale = a.sum(axis=1)
-            a /= scale[:, None]
+            emit = self.emit.take(padded[t, :n], axis=1)
+            a = emit * (a if t == 0 else onward @ a[:, :n])
+            scale = a.sum(axis=0)
             total[:n] += np.log10(scale)
+            scale = 1 / scale
+            a *= scale
             if seen is not None:
                 seen.append((a, scale))
         return total
@@ -320,23 +347,27 @@ class Hmm:
         for _, size, padded in self._steps(texts):
             seen: list[tuple[np.ndarray, np.ndarray]] = []
             self._forward(size, padded, seen)
-            gammas, marks = [], []
-            back = np.ones((0, STATES))
+            marks, moved, back = [], np.zeros((STATES, STATES)), None
             for t in range(len(padded) - 1, -1, -1):
-                a, scale = seen[t]
-                n = len(a)
-                now = np.ones((n, STATES))
-                if len(back):
-                    ahead = table[padded[t + 1, : len(back)]] * back / seen[t + 1][1][:, None]
-                    now[: len(back)] = ahead @ self.move.T
-                    move += self.move * (a[: len(back)].T @ ahead)
-                back = now
-                gammas.append(a * back)
+                a = seen[t][0]
+                n = a.shape[1]
                 marks.append(padded[t, :n])
-            start += gammas[-1].sum(axis=0)
-            gamma, mark = np.concatenate(gammas), np.concatenate(marks)
+                now = np.ones((STATES, n))
+                if back is not None:
+                    m = back.shape[1]
+                    ahead = self.emit.take(padded[t + 1, :m], axis=1)
+                    ahead *= back
+                    ahead *= seen[t + 1][1]
+                    now[:, :m] = self.move @ ahead
+                    moved += a[:, :m] @ ahead.T
+                    np.multiply(seen[t + 1][0], back, out=seen[t + 1][0])
+                back = now
+            np.multiply(seen[0][0], back, out=seen[0][0])
+            start += seen[0][0].sum(axis=1)
+            move += self.move * moved
+            mark = np.concatenate(marks[::-1])
             for k in range(STATES):
-                emit[k] += np.bincount(mark, gamma[:, k], emit.shape[1])
+                emit[k] += np.bincount(mark, np.concatenate([a[k] for a, _ in seen]), emit.shape[1])
 
 
 def _classes_of(column: pa.Array, model: Hmm) -> list[np.ndarray]:

@@ -510,6 +510,36 @@ def test_spelling_and_words_in_stretches(monkeypatch):
     assert [w for ws in lm.word_lists(text) for w in ws] == text.lower().split() and list(lm.word_lists(b"")) == []
 
 
+def test_many_texts_are_coded_at_once(monkeypatch):
+    import types
+
+    import pyarrow as pa
+
+    texts = [f"{prose(20)} w{i} own{i % 3}" if i % 9 else "" for i in range(300)]
+    head = [(w.encode(), 5) for w in sorted(set(VOCABULARY[:20]))]
+    lexicon = lm.Lexicon(6000, 400, head)
+    lexicon.learn(300, np.full(lm.FORMS, 9.0), np.ones(lm.FORMS), lm.Spelling(np.ones(256), 100.0), np.zeros(lm.FORMS))
+    row = pa.struct([("doc_id", pa.int64())])
+    rows = pa.StructArray.from_arrays([pa.array(range(300))], ["doc_id"])
+    batch = pa.RecordBatch.from_arrays([rows, pa.array([False] * 300), pa.array(texts)], ["row", "held", "text"])
+    monkeypatch.setattr(lm, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    calls, real = [], lm.forms_of
+    monkeypatch.setattr(lm, "forms_of", lambda *a: calls.append(1) or real(*a))
+    coding = lm._coding(types.SimpleNamespace(value=lexicon), row)
+    docs, words = coding(iter([batch]))
+    assert len(calls) <= 3
+    vocabulary = [w for w, _ in head] + words.column("word").to_pylist()
+    code, known = ("<u2" if lexicon.classes <= 1 << 16 else "<u4"), {w: i + 1 for i, (w, _) in enumerate(head)}
+    for t, n, k, classes, tail in zip(texts, *(docs.column(c).to_pylist() for c in ("n_tokens", "n_known", "classes", "tail")), strict=True):
+        want = t.encode().split()
+        assert n == len(want) + 1 == len(np.frombuffer(classes, code)) and k == 1 + sum(w in known for w in want)
+        assert [vocabulary[len(head) + i] for i in np.frombuffer(tail, "<u4")] == [w for w in want if w not in known]
+    monkeypatch.setattr(lm, "WAITING", 7, raising=False)
+    again, _ = coding(iter([batch]))
+    assert all(again.column(c).equals(docs.column(c)) for c in ("n_tokens", "n_known", "classes", "tail"))
+    assert np.allclose(again.column("within").to_numpy(), docs.column("within").to_numpy())
+
+
 def test_forward_and_counts_equal_enumeration():
     from itertools import product
 
